@@ -22,7 +22,7 @@ DEEP, WIN = 0.7, 0.1
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CONTAINERS = frozenset("html body div article section main aside nav header footer form table tbody thead tfoot tr td th ul ol dl figure blockquote details fieldset center menu dialog".split())
-_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption summary address hr legend option button label br".split())
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption summary address hr legend option button label".split())
 _DROPPED = frozenset("aside nav header footer form menu dialog fieldset".split())
 _DROPPED_BLOCKS = frozenset("button label legend option".split())
 _CHROME = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|side-?bar|nav\w*|menu|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|respond|widget|pager|pagination|login|signup|toolbar|copyright|disclaimer)(?:[^a-z]|$)", re.I)
@@ -87,6 +87,8 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             in_button = tag in _DROPPED_BLOCKS and not m[2]
         elif tag == "a":
             in_link = not m[2]
+        elif tag == "br":
+            text.append(" ")
     if at < len(source) and not in_button:
         text.append(source[at:])
     flush()

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from wakeline.llm import decontamination, packing, simhash, warc
+from wakeline.llm import decontamination, html, lm, packing, pii, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_two_fit": packing.op4_best_two_fit,
+    "op5_norm_sorted_topk": topk.op5_norm_sorted_topk,
+    "op6_consensus_paths": html.op6_consensus_paths,
+    "op7_stupid_backoff": lm.op7_stupid_backoff,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_pii_bootstrapped": pii.op9_pii_bootstrapped,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_norm_sorted_topk": topk.OP5_SQL,
+    "op7_stupid_backoff": lm.OP7_SQL,
+}
