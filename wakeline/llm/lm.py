@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = "run long, doc_ids array<long>, lengths array<int>, tokens binary, words binary"
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, by byte planes, compressed."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def _expanded(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of whole documents: token numbers, and the hash of each number's word."""
     part, count = TaskContext.get().partitionId() << 32, 0
@@ -40,7 +55,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> pa.RecordBatch:
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
-        cols = [pa.array([part | count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([flat.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())]
+        cols = [pa.array([part | count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_squeezed(flat)], pa.binary()), pa.array([words.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["run", "doc_ids", "lengths", "tokens", "words"])
 
     for b in batches:
@@ -63,7 +78,7 @@ class _Run:
 
     def __init__(self, lengths, tokens: bytes, words: bytes, order: int) -> None:
         self.lengths = np.asarray(lengths, np.int64)
-        t = np.frombuffer(tokens, np.uint32).astype(np.int64)
+        t = _expanded(tokens).astype(np.int64)
         h = np.frombuffer(words, np.uint64)
         place = np.arange(len(t)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.place, self.which, self.hashes, self.counts = place, [], [], []
@@ -85,9 +100,13 @@ class _Run:
             self.counts.append(n)
 
     def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All distinct n-grams by hash partition: their order, and each partition's begin."""
+        """All distinct n-grams by hash partition: their order, and each partition's begin.
+
+        The lower 16 bits of a hash choose the partition, the other 48 tell n-grams apart inside it.
+        """
         every = np.concatenate(self.hashes)
-        part = ((every >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        part = ((every & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
+        every = every >> np.uint64(16)
         order = np.argsort(part, kind="stable")
         return every, order, np.searchsorted(part[order], np.arange(parts + 1))
 
@@ -101,23 +120,24 @@ def _requests(order: int, parts: int):
                 every, counts = every[o], np.concatenate(own.counts)[o].astype(np.uint32)
                 used = [p for p in range(parts) if begin[p] < begin[p + 1]]
                 cuts = [(begin[p], begin[p + 1]) for p in used]
-                yield pa.RecordBatch.from_arrays([pa.array([r["run"]] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([every[x:y].tobytes() for x, y in cuts], pa.binary()), pa.array([counts[x:y].tobytes() for x, y in cuts], pa.binary())], ["run", "part", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["run"]] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([_squeezed(every[x:y]) for x, y in cuts], pa.binary()), pa.array([_squeezed(counts[x:y]) for x, y in cuts], pa.binary())], ["run", "part", "hashes", "counts"])
 
     return run
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """One partition of the count tables: totals by hash, and for each run the totals it asked for."""
-    sizes = np.array([len(x) // 8 for x in pdf["hashes"]])
-    every = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
-    counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32)
+    asked = [_expanded(x) for x in pdf["hashes"]]
+    sizes = np.array([len(x) for x in asked])
+    every = np.concatenate(asked)
+    counts = np.concatenate([_expanded(x) for x in pdf["counts"]])
     order = np.argsort(every)
     new = np.concatenate([[True], np.diff(every[order]) != 0])
     totals = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
     out = np.empty(len(every), np.int64)
     out[order] = totals[np.cumsum(new) - 1]
     cuts = np.split(out, np.cumsum(sizes)[:-1])
-    return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "totals": [c.tobytes() for c in cuts]})
+    return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "totals": [_squeezed(c) for c in cuts]})
 
 
 def _summed(order: int, parts: int, size: int, discount: float, least: int):
@@ -126,7 +146,7 @@ def _summed(order: int, parts: int, size: int, discount: float, least: int):
         own = _Run(r["lengths"], r["tokens"], r["words"], order)
         every, o, _begin = own.dealt(parts)
         totals = np.empty(len(every), np.int64)
-        totals[o] = np.frombuffer(b"".join(answers.sort_values("part")["totals"]), np.int64)
+        totals[o] = np.concatenate([np.zeros(0, np.int64), *(_expanded(x).astype(np.int64) for x in answers.sort_values("part")["totals"])])
         begin = np.cumsum([0, *map(len, own.hashes)])
         score = np.zeros(len(own.place))
         prev = None
@@ -158,14 +178,14 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, discount: float = DISCOU
     count(n-gram) / count(its context) for the longest n-gram, up to `order`, that the corpus has at
     least least_count times, times discount for each step down; the last step is count(word) / words
     of the corpus. Counts are over all documents, repeated rows included. log10_score is the sum over
-    the document, 0 for a null or empty text. N-grams are told apart by 64-bit hashes. Other columns
+    the document, 0 for a null or empty text. N-grams are told apart by 64-bit hashes, of which 16 bits only choose the partition. Other columns
     are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = cut(map_batches(rows, _encode, _RUNS), "runs")
     n, size = runs.agg(F.count("*"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 8))
+    parts = min(65536, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 8)))
     asked = map_batches(runs, _requests(order, parts), "run long, part int, hashes binary, counts binary")
     answers = asked.groupBy("part").applyInPandas(_answers, "run long, part int, totals binary")
     found = runs.groupBy("run").cogroup(answers.groupBy("run"))

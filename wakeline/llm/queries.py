@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wakeline.llm import decontamination, html, lm, packing, pii, simhash, topk, toxicity, warc
+from wakeline.llm import decontamination, html, lm, packing, pii, simhash, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_two_fit": packing.op4_best_two_fit,
     "op5_norm_sorted_topk": topk.op5_norm_sorted_topk,
