@@ -215,35 +215,46 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with what is known of their anchors -> solid stretches, and the contexts to compare."""
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
     schema = pa.schema(list(zip(["doc_id", "text", "id", "starts", "ends", "grams", "at", "lefts", "rights"], kinds, strict=True)))
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            raw = (r["text"] or "").encode("utf-8", "surrogatepass")
-            row = {"doc_id": r["doc_id"], "text": r["text"], "id": r["id"], "starts": [], "ends": [], "grams": [], "at": [], "lefts": [], "rights": []}
-            if r["known"]:
-                known: dict[tuple[int, int], tuple[bool, bool]] = {}
-                for k in r["known"]:  # equal texts have a row each; one of them ships
-                    key = k["gram"], k["around"]
-                    known[key] = k["solid"], k["ship"] or known.get(key, (False, False))[1]
-                at, h = anchors(raw)
-                shipped = set()
-                for p, g in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    key = (g, int(np.uint64(hash_of(raw, p)).view(np.int64)))
-                    solid, ship = known.get(key, (False, False))
-                    left, right = context(raw, p) if solid or ship else (b"", b"")
-                    if solid and len(left) + len(right) >= SIDE:
-                        row["starts"].append(p - len(left))
-                        row["ends"].append(p + GRAM + len(right))
-                    if ship and key not in shipped:
-                        shipped.add(key)
-                        row["grams"].append(g)
-                        row["at"].append(p)
-                        row["lefts"].append(left)
-                        row["rights"].append(right)
-            out.append(row)
+    out, size = [], 0
+    for r in _rows(batches):
+        raw = (r["text"] or "").encode("utf-8", "surrogatepass")
+        row = {"doc_id": r["doc_id"], "text": r["text"], "id": r["id"], "starts": [], "ends": [], "grams": [], "at": [], "lefts": [], "rights": []}
+        known: dict[tuple[int, int], tuple[bool, bool]] = {}
+        for k in r["known"]:  # equal texts have a row each; one of them ships
+            key = k["gram"], k["around"]
+            known[key] = k["solid"], k["ship"] or known.get(key, (False, False))[1]
+        at, h = anchors(raw)
+        some = np.isin(h.view(np.int64), np.array([g for g, _ in known], np.int64))
+        shipped = set()
+        for p, g in zip(at[some].tolist(), h[some].view(np.int64).tolist(), strict=True):
+            key = (g, int(np.uint64(hash_of(raw, p)).view(np.int64)))
+            solid, ship = known.get(key, (False, False))
+            left, right = context(raw, p) if solid or ship else (b"", b"")
+            if solid and len(left) + len(right) >= SIDE:
+                row["starts"].append(p - len(left))
+                row["ends"].append(p + GRAM + len(right))
+            if ship and key not in shipped:
+                shipped.add(key)
+                row["grams"].append(g)
+                row["at"].append(p)
+                row["lefts"].append(left)
+                row["rights"].append(right)
+        out.append(row)
+        size += len(raw) + 2 * SIDE * len(row["at"])
+        if size > 1 << 20:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    if out:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows a few at a time, as Python values take much more room than Arrow's."""
+    for b in batches:
+        for i in range(0, len(b), 32):
+            yield from b.slice(i, 32).to_pylist()
+
+
 class _Contexts:
     """Contexts of whole groups: bytes plus one, zero where the text has ended."""
 
@@ -307,6 +318,30 @@ class _Contexts:
 
     def solve(self) -> None:
         """Finds all strings around the gram that another context of the group has too."""
+        keep = self._hopeful()
+        if keep.all():
+            self._solve()
+        elif keep.any():
+            part = self._part(keep)
+            part._solve()
+            self.marks[keep] = part.marks
+
+    def _hopeful(self) -> np.ndarray:
+        """Contexts that share the bytes which all strings of some quarter of the begins cover."""
+        weight = np.random.default_rng(0).integers(1 << 62, size=2 * SIDE, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        out = np.zeros(len(self.left), bool)
+        for k in range(4):
+            lo, hi = SIDE * k // 4, SIDE * (k + 1) // 4
+            h = self.group.astype(np.uint64) * _MIX
+            if lo:
+                h = h + (self.left[:, SIDE - lo :] * weight[:lo]).sum(1, dtype=np.uint64)
+            if hi < SIDE:
+                h = h ^ (self.right[:, : SIDE - hi] * weight[SIDE : 2 * SIDE - hi]).sum(1, dtype=np.uint64) * _MIX
+            _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            out |= n[which] > 1
+        return out
+
+    def _solve(self) -> None:
         best = self.neighbours(CELL)
         a = np.arange(SIDE + 1)
         open_ = (best[:, a // CELL] >= SIDE - a) & ~self.repeated & (a <= self.has_left[:, None]) & (SIDE - a <= self.has_right[:, None])
@@ -315,18 +350,17 @@ class _Contexts:
         first = np.searchsorted(self.group, groups)
         for f, n in zip(first[todo & (count > 2)].tolist(), count[todo & (count > 2)].tolist(), strict=True):
             if n > FEW:
-                self._part(f, n).neighbours(1)
+                self._part(slice(f, f + n)).neighbours(1)
                 continue
             i = f + np.flatnonzero(open_[f : f + n].any(1))
             i, j = np.repeat(i, n), np.tile(np.arange(f, f + n), len(i))
             self.mark(i[i != j], j[i != j])
 
-    def _part(self, f: int, n: int) -> _Contexts:
-        """One group; its marks are those of the whole."""
+    def _part(self, rows) -> _Contexts:
+        """Some of the contexts; for a slice, the marks are those of the whole."""
         part = _Contexts.__new__(_Contexts)
-        for name in ("left", "right", "has_left", "has_right", "marks"):
-            setattr(part, name, getattr(self, name)[f : f + n])
-        part.group = np.zeros(n, np.int64)
+        for name in ("left", "right", "has_left", "has_right", "marks", "group"):
+            setattr(part, name, getattr(self, name)[rows])
         return part
 
 
@@ -442,23 +476,27 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the union of the stretches from each text."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", span)])
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            raw = (r["text"] or "").encode("utf-8", "surrogatepass")
-            pairs = sorted([*zip(r["starts"], r["ends"], strict=True), *((c["start"], c["end"]) for c in r["more"] or [])])
-            spans: list[list[int]] = []
-            for a, e in pairs:
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], e)
-                else:
-                    spans.append([a, e])
-            keep, at = [], 0
-            for a, e in spans:
-                keep.append(raw[at:a])
-                at = e
-            keep.append(raw[at:])
-            out.append({"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": sum(e - a for a, e in spans), "n_spans": len(spans), "kept": b"".join(keep), "spans": [{"start": a, "end": e} for a, e in spans]})
+    out, size = [], 0
+    for r in _rows(batches):
+        raw = (r["text"] or "").encode("utf-8", "surrogatepass")
+        pairs = sorted([*zip(r["starts"], r["ends"], strict=True), *((c["start"], c["end"]) for c in r["more"] or [])])
+        spans: list[list[int]] = []
+        for a, e in pairs:
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], e)
+            else:
+                spans.append([a, e])
+        keep, at = [], 0
+        for a, e in spans:
+            keep.append(raw[at:a])
+            at = e
+        keep.append(raw[at:])
+        out.append({"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": sum(e - a for a, e in spans), "n_spans": len(spans), "kept": b"".join(keep), "spans": [{"start": a, "end": e} for a, e in spans]})
+        size += len(raw)
+        if size > 1 << 20:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    if out:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
