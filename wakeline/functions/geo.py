@@ -39,25 +39,30 @@ class HexGrid:
         self.edge, self.lat0, self.lon0 = edge_km, lat0, lon0
         self.km_lon = KM_LON * math.cos(math.radians(lat0))
 
-    def axial(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+    def axial(self, lat: Column, lon: Column) -> Column:
+        """struct<q, r> of the cell. Arrays of one bind what is used more than once, which keeps the generated code small."""
         x, y = (lon - self.lon0) * self.km_lon, (lat - self.lat0) * KM_LAT
-        q, r = (math.sqrt(3) / 3 * x - y / 3.0) / self.edge, (2.0 / 3.0 * y) / self.edge
-        s = -q - r
-        rq, rr, rs = F.round(q), F.round(r), F.round(s)
-        dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-        cq = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-        cr = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
-        return cq.cast("int"), cr.cast("int")
+        at = F.struct(((math.sqrt(3) / 3 * x - y / 3.0) / self.edge).alias("q"), ((2.0 / 3.0 * y) / self.edge).alias("r"))
+        near = lambda z: F.struct(*(f(v).alias(f"{n}{k}") for v, k in ((z["q"], "q"), (z["r"], "r"), (-z["q"] - z["r"], "s")) for n, f in (("r", F.round), ("d", lambda v: F.abs(F.round(v) - v)))))
+
+        def pick(z: Column) -> Column:
+            off_q = (z["dq"] > z["dr"]) & (z["dq"] > z["ds"])
+            q = F.when(off_q, -z["rr"] - z["rs"]).otherwise(z["rq"])
+            r = F.when(off_q, z["rr"]).when(z["dr"] > z["ds"], -z["rq"] - z["rs"]).otherwise(z["rr"])
+            return F.struct(q.cast("int").alias("q"), r.cast("int").alias("r"))
+
+        return F.element_at(F.transform(F.transform(F.array(at), near), pick), 1)
 
     def cell(self, lat: Column, lon: Column) -> Column:
-        q, r = self.axial(lat, lon)
-        return F.concat_ws(":", q.cast("string"), r.cast("string"))
+        text = lambda z: F.concat_ws(":", z["q"].cast("string"), z["r"].cast("string"))
+        return F.element_at(F.transform(F.array(self.axial(lat, lon)), text), 1)
 
     def disk(self, cell: Column) -> Column:
         """The cell and its six neighbours."""
-        q, r = (F.element_at(F.split(cell, ":"), i).cast("int") for i in (1, 2))
         steps = [(0, 0), (1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)]
-        return F.array(*(F.concat_ws(":", (q + a).cast("string"), (r + b).cast("string")) for a, b in steps))
+        part = lambda p, i, d: (F.element_at(p, i).cast("int") + d).cast("string")
+        around = lambda p: F.array(*(F.concat_ws(":", part(p, 1, a), part(p, 2, b)) for a, b in steps))
+        return F.element_at(F.transform(F.array(F.split(cell, ":")), around), 1)
 
     def corners(self, cell: Column) -> Column:
         """Six corners as (lat, lon), from the north-east one counter-clockwise."""

@@ -222,7 +222,7 @@ def port_entries(s, d):
     return track.entries(_inside(_silver(s, d))).where("entry").select("mmsi", "sec")
 
 
-@query("SELECT event_id, arrival FROM asof", sql.ASOF)
+@query("SELECT event_id, arrival FROM reach", sql.ASOF)
 def asof_next_arrival(s, d):
     return track.next_arrival(track.entries(_inside(_silver(s, d)))).select("event_id", "arrival")
 

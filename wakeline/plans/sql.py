@@ -30,8 +30,8 @@ SELECT *, ({math.sqrt(3) / 3!r}::DOUBLE * {XY[0]} - {XY[1]} / 3) / 1.4::DOUBLE A
 PIP = f"(lat > {GY} AND lat < {GY2} AND lon > {GX} AND lon < {GX2})"
 INSIDE = f"{SILVER}, ins AS (SELECT *, {PIP} AS inside FROM silver)"
 ENTRY = f"{INSIDE}, entry AS (SELECT *, inside AND NOT lag(inside, 1, false) OVER (PARTITION BY mmsi ORDER BY sec, event_id) AS entry FROM ins)"
-ASOF = f"{ENTRY}, arr AS (SELECT mmsi AS m, sec AS a FROM entry WHERE entry), asof AS (SELECT entry.*, arr.a AS arrival FROM entry ASOF LEFT JOIN arr ON arr.m = entry.mmsi AND arr.a >= entry.sec)"
-ETA = f"{ASOF}, eta AS (SELECT *, coalesce(eta_min BETWEEN 0 AND 720 AND NOT inside, false) AS has_eta FROM (SELECT *, (arrival - sec) / 60::DOUBLE AS eta_min FROM asof))"
+ASOF = f"{ENTRY}, arr AS (SELECT mmsi AS m, sec AS a FROM entry WHERE entry), reach AS (SELECT entry.*, arr.a AS arrival FROM entry ASOF LEFT JOIN arr ON arr.m = entry.mmsi AND arr.a >= entry.sec)"
+ETA = f"{ASOF}, eta AS (SELECT *, coalesce(eta_min BETWEEN 0 AND 720 AND NOT inside, false) AS has_eta FROM (SELECT *, (arrival - sec) / 60::DOUBLE AS eta_min FROM reach))"
 DIST = hav("lat", "lon", str(POINT[0]), str(POINT[1]))
 BEAR = f"""((degrees(atan2(sin(radians({POINT[1]}::DOUBLE) - radians(lon)) * cos(radians({POINT[0]}::DOUBLE)), cos(radians(lat)) * sin(radians({POINT[0]}::DOUBLE)) - sin(radians(lat)) * cos(radians({POINT[0]}::DOUBLE)) * cos(radians({POINT[1]}::DOUBLE) - radians(lon)))) + 360) % 360)"""
 
