@@ -26,8 +26,11 @@ CELL = 16
 _CELLS = SIDE // CELL
 #: Contexts of a group up to which one task compares them; larger groups are split by what they share.
 GROUP = 8192
-#: Contexts of one suffix array, and of a group that is compared pair by pair where cells can't tell.
-BATCH, FEW = 3000, 48
+#: Contexts of one suffix array, parts into which the begins of strings are cut to find hopeful contexts,
+#: and texts of which a task remembers how often it has met them.
+BATCH, PARTS, TEXTS = 3000, 36, 200_000
+#: Contexts of a larger group that all its others are compared with before it is split.
+SOME = 64
 _BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,15 +150,22 @@ def context(raw: bytes, p: int) -> tuple[bytes, bytes]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, around, n, text): each text's distinct anchors with the hash of their context."""
+    """(gram, around, n, text): each text's distinct anchors with the hash of their context.
+
+    A third copy of a text adds nothing, so a task hands on two at most.
+    """
+    copies: dict[bytes, int] = {}
     for b in batches:
+        if len(copies) > TEXTS:
+            copies.clear()
         grams, around, texts, n = [], [], [], []
         for text in b.column("text").to_pylist():
             raw = (text or "").encode("utf-8", "surrogatepass")
-            at, h = anchors(raw)
+            own = hashlib.md5(raw).digest()
+            copies[own] = copies.get(own, 0) + 1
+            at, h = anchors(raw) if copies[own] < 3 else ([], [])
             if not len(at):
                 continue
-            own = hashlib.md5(raw).digest()
             ctx = np.array([hash_of(raw, p) for p in at.tolist()], np.uint64)
             pairs, counts = np.unique(np.stack([h, ctx], 1), axis=0, return_counts=True)
             grams.append(pairs[:, 0])
@@ -180,32 +190,40 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     solid: the context occurs at least twice, so all of it is repeated. ship: the first row of a context
     whose gram has other contexts as well; one of equal contexts is enough to compare with.
     """
-    held = None
+    names = ["gram", "around", "n"]
+    held = None  # at most two rows of the gram that may go on
 
-    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, around, n = (t.column(c).to_numpy() for c in ("gram", "around", "n"))
-        if not len(gram):
-            return
+    def flags(t: pa.Table) -> tuple[np.ndarray, ...]:
+        gram, around, n = (t.column(c).to_numpy() for c in names)
         new_gram = np.concatenate([[True], np.diff(gram) != 0])
         new = new_gram | np.concatenate([[True], np.diff(around) != 0])
         which, of = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
-        total = np.bincount(which, n)
-        kinds = np.bincount(of[new])
-        solid, ship = (total >= 2)[which], new & (kinds > 1)[of]
-        keep = solid | ship
-        out = t.filter(pa.array(keep)).select(["text", "gram", "around"]).append_column("solid", pa.array(solid[keep])).append_column("ship", pa.array(ship[keep]))
-        yield from out.combine_chunks().to_batches()
+        total, kinds = np.bincount(which, n)[which], np.bincount(of[new])[of]
+        return new, total, kinds, np.flatnonzero(new_gram)[-1], np.flatnonzero(new)[-1]
+
+    def put(t: pa.Table, keep: np.ndarray, solid: np.ndarray, ship: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep &= (solid | ship) & ~t.column("told").to_numpy()
+        out = t.select(["text", "gram", "around"]).append_column("solid", pa.array(solid)).append_column("ship", pa.array(ship))
+        yield from out.filter(pa.array(keep)).combine_chunks().to_batches()
 
     for b in batches:
-        t = pa.Table.from_batches([b])
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b]).append_column("told", pa.array(np.zeros(len(b), bool)))
         t = pa.concat_tables([held, t]) if held is not None else t
-        gram = t.column("gram").to_numpy()
-        last = int(np.searchsorted(gram, gram[-1]))
-        # a cut is safe between grams; batches are small, so a gram rarely spans many
-        yield from done(t.slice(0, last))
-        held = t.slice(last)
+        new, total, kinds, begin, last = flags(t)
+        # of the last gram, a first context that is alone may yet ship, and a last one met once may yet be solid
+        wait = begin if begin == last else last if total[last] < 2 else -1
+        keep = np.arange(len(t)) != wait
+        yield from put(t, keep, total >= 2, new & (kinds > 1))
+        told = t.column("told").to_numpy()
+        rows = [begin] if begin == last else [begin, last]
+        some = t.take(pa.array(rows)).drop_columns(["n", "told"])
+        some = some.append_column("n", pa.array(np.minimum(total[rows], 2).astype(np.int32))).append_column("told", pa.array([bool(told[r] or r != wait) for r in rows]))
+        held = some.select(t.column_names).combine_chunks()
     if held is not None:
-        yield from done(held)
+        new, total, kinds, *_ = flags(held)
+        yield from put(held, np.ones(len(held), bool), total >= 2, new & (kinds > 1))
 
 
 _FOUND = "doc_id long, text string, id binary, starts array<int>, ends array<int>, grams array<long>, at array<int>, lefts array<binary>, rights array<binary>"
@@ -215,10 +233,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with what is known of their anchors -> solid stretches, and the contexts to compare."""
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
     schema = pa.schema(list(zip(["doc_id", "text", "id", "starts", "ends", "grams", "at", "lefts", "rights"], kinds, strict=True)))
-    out, size = [], 0
+    out, size, before = [], 0, None
     for r in _rows(batches):
+        if before and before["id"] == r["id"]:  # copies follow each other; the first has told all
+            out.append(before | {"doc_id": r["doc_id"], "grams": [], "at": [], "lefts": [], "rights": []})
+            size += len(r["text"])
+            if size > 1 << 20:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out, size = [], 0
+            continue
         raw = (r["text"] or "").encode("utf-8", "surrogatepass")
-        row = {"doc_id": r["doc_id"], "text": r["text"], "id": r["id"], "starts": [], "ends": [], "grams": [], "at": [], "lefts": [], "rights": []}
+        row = before = {"doc_id": r["doc_id"], "text": r["text"], "id": r["id"], "starts": [], "ends": [], "grams": [], "at": [], "lefts": [], "rights": []}
         known: dict[tuple[int, int], tuple[bool, bool]] = {}
         for k in r["known"]:  # equal texts have a row each; one of them ships
             key = k["gram"], k["around"]
@@ -326,35 +351,42 @@ class _Contexts:
             part._solve()
             self.marks[keep] = part.marks
 
-    def _hopeful(self) -> np.ndarray:
-        """Contexts that share the bytes which all strings of some quarter of the begins cover."""
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each number of bytes before and after the gram, a hash of those bytes."""
         weight = np.random.default_rng(0).integers(1 << 62, size=2 * SIDE, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        zero = np.zeros((len(self.left), 1), np.uint64)
+        left = np.cumsum(self.left[:, ::-1] * weight[:SIDE], 1, dtype=np.uint64)
+        right = np.cumsum(self.right * weight[SIDE:], 1, dtype=np.uint64)
+        return np.concatenate([zero, left], 1), np.concatenate([zero, right], 1) * _MIX
+
+    def _hopeful(self) -> np.ndarray:
+        """Contexts that share the bytes which all strings of some part of the begins cover."""
+        left, right = self._sums()
+        own = self.group.astype(np.uint64) * _MIX
         out = np.zeros(len(self.left), bool)
-        for k in range(4):
-            lo, hi = SIDE * k // 4, SIDE * (k + 1) // 4
-            h = self.group.astype(np.uint64) * _MIX
-            if lo:
-                h = h + (self.left[:, SIDE - lo :] * weight[:lo]).sum(1, dtype=np.uint64)
-            if hi < SIDE:
-                h = h ^ (self.right[:, : SIDE - hi] * weight[SIDE : 2 * SIDE - hi]).sum(1, dtype=np.uint64) * _MIX
-            _, which, n = np.unique(h, return_inverse=True, return_counts=True)
-            out |= n[which] > 1
+        for k in range(PARTS):
+            lo, hi = SIDE * k // PARTS, SIDE * (k + 1) // PARTS
+            h = (left[:, lo] + own) ^ right[:, SIDE - hi]
+            order = np.argsort(h, kind="stable")
+            same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+            out[order[same]] = out[order[same + 1]] = True
         return out
 
     def _solve(self) -> None:
         best = self.neighbours(CELL)
         a = np.arange(SIDE + 1)
         open_ = (best[:, a // CELL] >= SIDE - a) & ~self.repeated & (a <= self.has_left[:, None]) & (SIDE - a <= self.has_right[:, None])
-        groups, count = np.unique(self.group, return_counts=True)
-        todo = np.isin(groups, np.unique(self.group[open_.any(1)]))
-        first = np.searchsorted(self.group, groups)
-        for f, n in zip(first[todo & (count > 2)].tolist(), count[todo & (count > 2)].tolist(), strict=True):
-            if n > FEW:
-                self._part(slice(f, f + n)).neighbours(1)
-                continue
-            i = f + np.flatnonzero(open_[f : f + n].any(1))
-            i, j = np.repeat(i, n), np.tile(np.arange(f, f + n), len(i))
-            self.mark(i[i != j], j[i != j])
+        if not open_.any():
+            return
+        # where a cell's edge hides a begin, contexts with equal hashes of just those bytes are compared
+        left, right = self._sums()
+        own = self.group.astype(np.uint64) * _MIX
+        for k in np.flatnonzero(open_.any(0)).tolist():
+            h = (left[:, k] + own) ^ right[:, SIDE - k]
+            order = np.argsort(h, kind="stable")
+            i, j = order[:-1], order[1:]
+            pair = (h[i] == h[j]) & (self.group[i] == self.group[j]) & (open_[i, k] | open_[j, k])
+            self.mark(i[pair], j[pair])
 
     def _part(self, rows) -> _Contexts:
         """Some of the contexts; for a slice, the marks are those of the whole."""
@@ -373,6 +405,9 @@ def _compare(limit: int):
     names = ["gram", "lo", "hi", "sub"]
     types = pa.schema([("id", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("gram", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("sub", pa.int64()), ("of", pa.binary()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
+    def key_of(t: pa.Table) -> tuple:
+        return tuple(t.column(c)[0].as_py() for c in names)
+
     def stretches(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         arrays = [pa.array(c, types.field(i).type) for i, c in enumerate(cols)]
@@ -388,20 +423,56 @@ def _compare(limit: int):
         group = np.repeat(np.arange(len(tables)), [len(x) for x in tables])
         found = _Contexts(group, t.column("left").to_pylist(), t.column("right").to_pylist())
         found.solve()
+        yield told(t, found.repeated)
+
+    def told(t: pa.Table, rep: np.ndarray) -> pa.RecordBatch:
         ids, at, rows = t.column("id").to_pylist(), t.column("at").to_pylist(), []
-        rep = found.repeated
         for i in np.flatnonzero(rep.any(1)).tolist():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], rep[i], [0]])))
             rows += [(ids[i], at[i] - (b - 1), at[i] + LENGTH - a) for a, b in edge.reshape(-1, 2).tolist()]
-        yield stretches(rows)
+        return stretches(rows)
+
+    def split(t: pa.Table, found: _Contexts) -> Iterator[pa.RecordBatch]:
+        """Of a larger group: what is repeated so far, and rows for the half of the begins where more may be.
+
+        Where a string is known to be repeated, all that have it know, so only the others go on.
+        """
+        rep, a = found.repeated, np.arange(SIDE + 1)
+        yield told(t, rep)
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        maybe = ~rep & (a <= found.has_left[:, None]) & (SIDE - a <= found.has_right[:, None])
+        mid = (lo + hi) // 2
+        for x, y in ((lo, mid), (mid + 1, hi)):
+            part = t.filter(pa.array(maybe[:, x : y + 1].any(1)))
+            for name, v in (("lo", x), ("hi", y)):
+                i = part.schema.get_field_index(name)
+                part = part.set_column(i, name, pa.array(np.full(len(part), v, np.int32)))
+            yield from deferred(part)
+
+    class Large:
+        """A group over the limit: SOME of its contexts meet all the others, part by part."""
+
+        def __init__(self, t: pa.Table) -> None:
+            pick = np.unique(np.linspace(0, len(t) - 1, SOME).astype(int))
+            self.some, self.rest = t.take(pa.array(pick)), t.take(pa.array(np.setdiff1d(np.arange(len(t)), pick)))
+            self.found = _Contexts(np.zeros(len(pick), int), self.some.column("left").to_pylist(), self.some.column("right").to_pylist())
+            self.found.mark(*np.triu_indices(len(pick), 1))
+
+        def meet(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+            k = len(self.some)
+            both = pa.concat_tables([self.some, t])
+            found = _Contexts(np.zeros(len(both), int), both.column("left").to_pylist(), both.column("right").to_pylist())
+            for i in range(k):
+                found.mark(np.full(len(t), i), np.arange(k, len(both)))
+            self.found.marks += found.marks[:k]
+            yield from split(t, found._part(slice(k, None)))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
         """Whole groups, or parts of one that is over the limit (True)."""
         held, over = None, False
         for b in batches:
             t = pa.Table.from_batches([b])
-            same = lambda x, i: tuple(x.column(c)[i].as_py() for c in names)
-            if held is not None and same(held, 0) != same(t, 0):
+            if held is not None and key_of(held) != key_of(t):
                 yield held, over
                 held, over = None, False
             t = pa.concat_tables([held, t]) if held is not None else t
@@ -419,40 +490,40 @@ def _compare(limit: int):
             yield held, over
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
+        waiting, n, large = [], 0, None
         for t, over in groups(batches):
+            if large and key_of(large.some) != key_of(t):
+                yield from split(large.some, large.found)
+                large = None
             lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
             if lo == hi:  # all of the group share the one string left
                 if over or len(t) > 1:
                     yield stretches([(i, p - lo, p - lo + LENGTH) for i, p in zip(t.column("id").to_pylist(), t.column("at").to_pylist(), strict=True)])
             elif over:
-                yield from deferred(t)
+                if not large:
+                    large = Large(t)
+                    t = large.rest
+                if len(t):
+                    yield from large.meet(t)
             elif len(t) > 1:
                 waiting.append(t)
                 n += len(t)
                 if n >= BATCH:
                     yield from solved(waiting)
                     waiting, n = [], 0
+        if large:
+            yield from split(large.some, large.found)
         if waiting:
             yield from solved(waiting)
 
     return run
 
 
-def _halves(rows: DataFrame) -> DataFrame:
-    """Larger groups in two: strings that begin farther before the gram, and those that begin nearer.
-
-    Either half shares more bytes on one side, which tell its new groups apart.
-    """
-    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    sides = [(F.col("lo"), mid), (mid + 1, F.col("hi"))]
-    out = None
-    for lo, hi in sides:
-        ok = (F.octet_length("left") >= lo) & (F.octet_length("right") >= SIDE - hi)
-        shared = F.xxhash64("gram", "sub", lo, hi, F.substring(F.col("left"), F.octet_length("left") - lo + 1, lo), F.substring(F.col("right"), F.lit(1), SIDE - hi))
-        half = rows.where(ok).select("gram", lo.alias("lo"), hi.alias("hi"), shared.alias("sub"), "id", "at", "left", "right")
-        out = half if out is None else out.unionByName(half)
-    return out
+def _regrouped(rows: DataFrame) -> DataFrame:
+    """Rows of larger groups for half the begins: all strings there share more bytes, which tell groups apart."""
+    lo, rest = F.col("lo"), SIDE - F.col("hi")
+    shared = F.xxhash64("gram", "sub", "lo", "hi", F.substring(F.col("left"), F.octet_length("left") - lo + 1, lo), F.substring(F.col("right"), F.lit(1), rest))
+    return rows.select("gram", "lo", "hi", shared.alias("sub"), "id", "at", "left", "right")
 
 
 def _covered(contexts: DataFrame, limit: int) -> DataFrame:
@@ -466,7 +537,7 @@ def _covered(contexts: DataFrame, limit: int) -> DataFrame:
         more = done.where("gram IS NOT NULL")
         if more.isEmpty():
             return out
-        rows = _halves(more.select("gram", "lo", "hi", "sub", F.col("of").alias("id"), "at", "left", "right"))
+        rows = _regrouped(more.select("gram", "lo", "hi", "sub", F.col("of").alias("id"), "at", "left", "right"))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>"
@@ -476,23 +547,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the union of the stretches from each text."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", span)])
-    out, size = [], 0
+    out, size, before = [], 0, (None, None)
     for r in _rows(batches):
-        raw = (r["text"] or "").encode("utf-8", "surrogatepass")
-        pairs = sorted([*zip(r["starts"], r["ends"], strict=True), *((c["start"], c["end"]) for c in r["more"] or [])])
-        spans: list[list[int]] = []
-        for a, e in pairs:
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], e)
-            else:
-                spans.append([a, e])
-        keep, at = [], 0
-        for a, e in spans:
-            keep.append(raw[at:a])
-            at = e
-        keep.append(raw[at:])
-        out.append({"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": sum(e - a for a, e in spans), "n_spans": len(spans), "kept": b"".join(keep), "spans": [{"start": a, "end": e} for a, e in spans]})
-        size += len(raw)
+        if before[0] != r["id"]:
+            before = r["id"], _without(r)
+        out.append({"doc_id": r["doc_id"]} | before[1])
+        size += len(r["text"])
         if size > 1 << 20:
             yield pa.RecordBatch.from_pylist(out, schema)
             out, size = [], 0
@@ -500,6 +560,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
+def _without(r: dict) -> dict:
+    """What is left of one text, and its removed runs."""
+    raw = (r["text"] or "").encode("utf-8", "surrogatepass")
+    pairs = sorted([*zip(r["starts"], r["ends"], strict=True), *((c["start"], c["end"]) for c in r["more"] or [])])
+    spans: list[list[int]] = []
+    for a, e in pairs:
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], e)
+        else:
+            spans.append([a, e])
+    keep, at = [], 0
+    for a, e in spans:
+        keep.append(raw[at:a])
+        at = e
+    keep.append(raw[at:])
+    return {"n_bytes": len(raw), "n_removed": sum(e - a for a, e in spans), "n_spans": len(spans), "kept": b"".join(keep), "spans": [{"start": a, "end": e} for a, e in spans]}
+
+
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """documents -> (doc_id, n_bytes, n_removed, n_spans, kept binary, spans), a row for each input row.
 
@@ -507,8 +585,9 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     another; strings never cross texts. spans are the maximal removed runs as byte offsets. Texts are
     UTF-8, a null text is empty; equal texts of LENGTH bytes or more go whole. Repeated rows are two
     places. Other columns are ignored; no rows give no rows. Contexts are told apart by 64-bit hashes of
-    their bytes, texts by MD5. A group of more than `group` contexts is never in one task: it is halved
-    by the bytes its strings must share until it fits, or until one string is left, which all share.
+    their bytes, texts by MD5. A group of more than `group` contexts is never held by one task: it streams past
+    some of its contexts, and what they leave open is split in halves by the bytes that strings must
+    share, until it fits or one string is left, which all share.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     places = map_batches(rows.select("text"), _occurrences, "gram long, around long, n int, text binary")
@@ -521,7 +600,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     found = cut(map_batches(some.select("doc_id", "text", "id", "known"), _gather, _FOUND), "texts")
     contexts = found.select("id", F.explode(F.arrays_zip("grams", "at", "lefts", "rights")).alias("c")).select("id", F.col("c.grams").alias("gram"), F.col("c.at").alias("at"), F.col("c.lefts").alias("left"), F.col("c.rights").alias("right"))
     more = _covered(contexts, group).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    changed = map_batches(found.join(more, "id", "left").select("doc_id", "text", "starts", "ends", "more"), _kept, _RESULT)
+    changed = map_batches(found.join(more, "id", "left").select("doc_id", "text", "id", "starts", "ends", "more"), _kept, _RESULT)
     zero = F.lit(0).cast("long")
     same = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return changed.unionByName(same)
