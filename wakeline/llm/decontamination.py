@@ -17,6 +17,7 @@ from wakeline.llm.shared import cut, map_batches
 WINDOW = 13
 #: UTF-8 bytes of benchmark text that one automaton holds. A larger benchmark is scanned in shards.
 SHARD_BYTES = 16_000_000
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z in lower case, blanks for the other ASCII bytes that aren't word characters.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -72,7 +73,7 @@ _built: dict[str, Automaton] = {}
 
 def _spans(text: str, hit: np.ndarray) -> list[dict]:
     """Runs of hit words as offsets in the original text."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in edge.reshape(-1, 2).tolist()]
 
