@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wakeline.functions import geo, scalar
 from wakeline.operators import injection, proximity, track
 from wakeline.plans import lens, sql
+from wakeline.sources import files
+from wakeline.streaming import live
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -504,3 +506,77 @@ def union_days(s, d):
     p = lens.pings(s, d)
     parts = [p.where(F.floor(F.col("sec") / 86400) % 2 == k) for k in (0, 1)]
     return parts[0].unionByName(parts[1]).select("event_id", "mmsi")
+
+
+PLAIN = "SELECT event_id, mmsi, sec, round(lat, 4) AS lat, nullif(event_type, 'view') AS event_type FROM lens"
+PLAIN_SCHEMA = "event_id long, mmsi long, sec long, lat double, event_type string"
+
+
+def _plain(s, d) -> DataFrame:
+    kept = lens.pings(s, d).select("event_id", "mmsi", "sec", R4("lat").alias("lat"), F.nullif("event_type", F.lit("view")).alias("event_type"))
+    return kept.select(*(F.col(c).cast(kind).alias(c) for c, kind in (x.split() for x in PLAIN_SCHEMA.split(", "))))
+
+
+@query(PLAIN)
+def csv_roundtrip(s, d):
+    path = files.scratch(s, "csv")
+    _plain(s, d).write.option("header", True).csv(path)
+    return files.read_csv(s, path, PLAIN_SCHEMA)
+
+
+@query(PLAIN)
+def json_roundtrip(s, d):
+    path = files.scratch(s, "json")
+    _plain(s, d).write.json(path)
+    return s.read.schema(PLAIN_SCHEMA).json(path)
+
+
+@query("SELECT event_id, mmsi, (sec // 86400)::INTEGER AS day FROM lens WHERE sec // 86400 % 2 = 0")
+def hive_partition_roundtrip(s, d):
+    """The filter on day prunes folders."""
+    path = files.scratch(s, "hive")
+    files.write_by(lens.pings(s, d).select("event_id", "mmsi", F.floor(F.col("sec") / 86400).cast("int").alias("day")), path, "day")
+    return s.read.parquet(path).where("day % 2 = 0").select("event_id", "mmsi", "day")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN sec END AS sec FROM lens")
+def parse_live_time(s, d):
+    p = lens.pings(s, d)
+    at = F.expr("cast(TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, sec) AS string)")
+    text = F.when(F.col("event_type") == "error", F.lit("no time")).otherwise(F.concat(at, F.lit(".000000 +0000 UTC")))
+    return p.select("event_id", live.live_time(text).alias("sec"))
+
+
+def _messages(s, d) -> DataFrame:
+    """Pings as live messages: signups are static reports, errors are of another kind."""
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "ShipStaticData").when(t == "error", "Other").otherwise("PositionReport")
+    head = F.struct("mmsi", (F.col("lat") + 1).alias("latitude"))
+    body = F.struct(F.when(t != "view", F.col("lat")).alias("Latitude"), (F.col("event_id") % 3).alias("ImoNumber"), F.when(t == "signup", F.col("event_id")).alias("Static"), F.col("event_id").alias("Seq"), F.col("sec").alias("Sec"))
+    return lens.pings(s, d).select(F.to_json(F.struct(kind.alias("MessageType"), head.alias("MetaData"), body.alias("Message"))).alias("value"))
+
+
+@query("SELECT event_id AS seq, mmsi, round(CASE WHEN event_type = 'view' THEN lat + 1 ELSE lat END, 4) AS lat, nullif(event_id % 3, 0) AS imo FROM lens WHERE event_type <> 'error'")
+def json_extract(s, d):
+    return live.parsed(_messages(s, d)).select("seq", "mmsi", R4("lat").alias("lat"), "imo")
+
+
+def _stream(s, d) -> DataFrame:
+    path = files.scratch(s, "messages")
+    _messages(s, d).write.text(path)
+    return live.parsed(s.readStream.text(path))
+
+
+@query("SELECT event_id AS seq, mmsi FROM lens WHERE event_type NOT IN ('error', 'signup')")
+def stream_positions(s, d):
+    return live.landed(_stream(s, d).where("kind = 'PositionReport'").select("seq", "mmsi"), "positions")
+
+
+@query("SELECT seq, mmsi, latest FROM (SELECT event_id AS seq, mmsi, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest, event_type FROM lens) WHERE event_type NOT IN ('error', 'signup')")
+def stream_enrich(s, d):
+    return live.landed(live.enriched(_stream(s, d)), "enriched")
+
+
+@query("SELECT event_id AS seq, mmsi FROM lens WHERE event_type <> 'error'")
+def stream_file_sink(s, d):
+    return live.landed(_stream(s, d).select("seq", "mmsi"), "sink", seconds=1)
