@@ -8,6 +8,7 @@ by (length, number within the length), which Spark counts without a hot group.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,11 +21,16 @@ from pyspark.sql import functions as F
 from wakeline.llm.shared import cut, map_batches
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids one worker keeps at most.
-CACHE_WORDS = 400_000
+#: Units whose ids one worker keeps at most.
+KEPT_UNITS = 600_000
 #: Parts into which the pieces of one length are dealt to be numbered.
 PARTS = 512
-_BREAK = 49407
+_END = "</w>"
+#: Characters whose lower case, composition and class are beyond doubt; of these, letters and digits; and
+#: the units into which the vocabulary cuts text.
+_PLAIN = re.compile("[\t\n\r\x20-\x3b\x3d-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u01c3\u01f4-\u024f\u2010-\u2027]*").fullmatch
+_LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_UNIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+").findall
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
@@ -76,59 +82,85 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]
     return plan
 
 
-class _Words:
-    """Token ids of text, word by word: words between blanks never share tokens in this vocabulary."""
+class _Units:
+    """Token ids of text, unit by unit: letters, a digit, or other marks never share tokens.
+
+    Texts of plain characters are cut into units, which recur; each unit's last token carries the
+    vocabulary's mark of an end. Of other texts, words with other characters are encoded as they are.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _add(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        plain = [w for w in words if "<" not in w]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            text = "<|endoftext|>".join(part)
-            ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == _BREAK)
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(part, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.known[w] = raw[a:b]
-                a = b + 4
-        for w in words:
-            if "<" in w:
-                self.known[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _add(self, keys: list[str]) -> None:
+        units = [k for k in keys if k[0] != " "]
+        for i in range(0, len(units), 5000):
+            part = units[i : i + 5000]
+            ids = self._encode(" ".join(part))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("this vocabulary doesn't end each unit with a token of its own")
+            raw, at = ids.tobytes(), 0
+            for u, e in zip(part, (4 * cuts).tolist(), strict=True):
+                self.known[u] = raw[at:e]
+                at = e
+        for k in keys:
+            if k[0] == " ":
+                self.known[k] = self._encode(k[1:]).tobytes()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
+        held, size = [], 0
         for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join([self.known[w] for w in words])
-            except KeyError:
-                new = list({w for w in words if w not in self.known})
-                room = CACHE_WORDS // 4
-                if len(new) <= room:
-                    self._add(new)
-                    if any(w not in self.known for w in words):  # the store was emptied meanwhile
-                        self._add(list(set(words)))
-                    yield b"".join([self.known[w] for w in words])
-                else:
-                    parts = []
-                    for i in range(0, len(words), room):
-                        self._add(list(set(words[i : i + room])))
-                        parts += [self.known[w] for w in words[i : i + room]]
-                    yield b"".join(parts)
-
-
-_loaded: dict[str, _Words] = {}
+            held.append(_keys_of(text))
+            size += len(held[-1])
+            if size >= KEPT_UNITS // 4:
+                yield from self._all(held)
+                held, size = [], 0
+        yield from self._all(held)
+
+    def _all(self, lists: list[list[str]]) -> Iterator[bytes]:
+        new = {k for keys in lists for k in keys if k not in self.known}
+        if len(self.known) + len(new) > KEPT_UNITS:
+            self.known.clear()
+            new = {k for keys in lists for k in keys}
+        if len(new) <= KEPT_UNITS:
+            self._add(list(new))
+            yield from map(self._joined, lists)
+            return
+        for keys in lists:  # a text of very many different units goes part by part
+            parts = []
+            for i in range(0, len(keys), KEPT_UNITS):
+                self.known.clear()
+                self._add(list(set(keys[i : i + KEPT_UNITS])))
+                parts.append(self._joined(keys[i : i + KEPT_UNITS]))
+            yield b"".join(parts)
+
+    def _joined(self, keys: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, keys))
+
+
+def _keys_of(text: str) -> list[str]:
+    """The text's units; a word with other characters stands for itself, after a blank."""
+    if _PLAIN(text):
+        return _UNIT(text.lower())
+    return [k for w in text.replace("\n", " ").split(" ") if w for k in (_UNIT(w.lower()) if _PLAIN(w) else [f" {w}"])]
+
+
+_loaded: dict[str, _Units] = {}
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _loaded.setdefault(tokenizer, None) or _Words(tokenizer)
+        words = _loaded.setdefault(tokenizer, None) or _Units(tokenizer)
         _loaded[tokenizer] = words
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
