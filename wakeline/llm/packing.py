@@ -22,7 +22,7 @@ from wakeline.llm.shared import cut, map_batches
 
 CAPACITY, END_ID = 4096, 1
 #: Units whose ids one worker keeps at most.
-KEPT_UNITS = 600_000
+KEPT_UNITS = 1_500_000
 #: Parts into which the pieces of one length are dealt to be numbered.
 PARTS = 512
 _END = "</w>"
@@ -122,7 +122,7 @@ class _Units:
         for text in texts:
             held.append(_keys_of(text))
             size += len(held[-1])
-            if size >= KEPT_UNITS // 4:
+            if size >= 200_000:
                 yield from self._all(held)
                 held, size = [], 0
         yield from self._all(held)
