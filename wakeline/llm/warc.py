@@ -142,7 +142,10 @@ def write_warc(pages: DataFrame, folder: str, level: int = 3, archive_bytes: int
     joined = rows.join(same, (F.col("digest") == F.col("of")) & long, "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("last")) & F.col("last").isNotNull(), F.lit(False))
     ready = joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
-    sample = rows.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "digest").orderBy(F.xxhash64("digest"), "page_id").limit(SAMPLE_RECORDS).collect()
+    # a hash picks some four times the sample, so that tasks don't each send a whole one to the driver
+    mixed, share = F.xxhash64("digest", "page_id"), min(1.0, 4 * SAMPLE_RECORDS / max(1, pages.count()))
+    few = rows.where(F.pmod(mixed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = few.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "digest").orderBy(mixed, "page_id").limit(SAMPLE_RECORDS).collect()
     dictionary = train([record(r["page_id"], r["url"], r["html"], r["digest"], None, False)[:SAMPLE_BYTES] for r in sample])
     return cut(map_batches(ready, _write(folder, dictionary, level, archive_bytes), "archive string, records long, bytes long"), "archives")
 
