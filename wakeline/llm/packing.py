@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wakeline.llm.shared import cut, map_batches
 
 CAPACITY, END_ID = 4096, 1
-#: Units whose ids one worker keeps at most.
+#: Words and units whose ids one worker keeps at most.
 KEPT_UNITS = 1_500_000
 #: Parts into which the pieces of one length are dealt to be numbered.
 PARTS = 512
@@ -83,10 +83,10 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]
 
 
 class _Units:
-    """Token ids of text, unit by unit: letters, a digit, or other marks never share tokens.
+    """Token ids of text, word by word: letters, a digit, or other marks never share tokens.
 
-    Texts of plain characters are cut into units, which recur; each unit's last token carries the
-    vocabulary's mark of an end. Of other texts, words with other characters are encoded as they are.
+    Words between white space recur, and so do the units in a new word; each unit's last token carries
+    the vocabulary's mark of an end. Words with other than plain characters are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -97,12 +97,21 @@ class _Units:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _add(self, keys: list[str]) -> None:
-        units = [k for k in keys if k[0] != " "]
+    def _add(self, words: list[str]) -> None:
+        cut = {}
+        for w in words:
+            if w[0] != " ":
+                cut[w] = _UNIT(w)
+            elif _PLAIN(w):
+                cut[w] = _UNIT(w.lower())
+            else:
+                self.known[w] = self._encode(w[1:]).tobytes()
+        units = list({u for found in cut.values() for u in found if u not in self.units})
         for i in range(0, len(units), 5000):
             part = units[i : i + 5000]
             ids = self._encode(" ".join(part))
@@ -111,16 +120,16 @@ class _Units:
                 raise ValueError("this vocabulary doesn't end each unit with a token of its own")
             raw, at = ids.tobytes(), 0
             for u, e in zip(part, (4 * cuts).tolist(), strict=True):
-                self.known[u] = raw[at:e]
+                self.units[u] = raw[at:e]
                 at = e
-        for k in keys:
-            if k[0] == " ":
-                self.known[k] = self._encode(k[1:]).tobytes()
+        get = self.units.__getitem__
+        for w, found in cut.items():
+            self.known[w] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         held, size = [], 0
         for text in texts:
-            held.append(_keys_of(text))
+            held.append(_words_of(text))
             size += len(held[-1])
             if size >= 200_000:
                 yield from self._all(held)
@@ -128,31 +137,33 @@ class _Units:
         yield from self._all(held)
 
     def _all(self, lists: list[list[str]]) -> Iterator[bytes]:
-        new = {k for keys in lists for k in keys if k not in self.known}
-        if len(self.known) + len(new) > KEPT_UNITS:
+        new = set().union(*lists).difference(self.known)
+        if len(self.known) + len(self.units) + len(new) > KEPT_UNITS:
             self.known.clear()
-            new = {k for keys in lists for k in keys}
+            self.units.clear()
+            new = set().union(*lists)
         if len(new) <= KEPT_UNITS:
             self._add(list(new))
             yield from map(self._joined, lists)
             return
-        for keys in lists:  # a text of very many different units goes part by part
+        for words in lists:  # a text of very many different words goes part by part
             parts = []
-            for i in range(0, len(keys), KEPT_UNITS):
+            for i in range(0, len(words), KEPT_UNITS):
                 self.known.clear()
-                self._add(list(set(keys[i : i + KEPT_UNITS])))
-                parts.append(self._joined(keys[i : i + KEPT_UNITS]))
+                self.units.clear()
+                self._add(list(set(words[i : i + KEPT_UNITS])))
+                parts.append(self._joined(words[i : i + KEPT_UNITS]))
             yield b"".join(parts)
 
-    def _joined(self, keys: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, keys))
+    def _joined(self, words: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
 
-def _keys_of(text: str) -> list[str]:
-    """The text's units; a word with other characters stands for itself, after a blank."""
+def _words_of(text: str) -> list[str]:
+    """The text's words, in lower case; those of a text with other characters as they are, after a blank."""
     if _PLAIN(text):
-        return _UNIT(text.lower())
-    return [k for w in text.replace("\n", " ").split(" ") if w for k in (_UNIT(w.lower()) if _PLAIN(w) else [f" {w}"])]
+        return text.lower().split()
+    return [" " + w for w in text.replace("\n", " ").split(" ") if w]
 
 
 _loaded: dict[str, _Units] = {}
