@@ -191,6 +191,17 @@ def test_personal_data(spark):
         assert set(base) <= {(s["start"], s["k"], s["end"], s["kind"]) for s in r["spans"]}
 
 
+def test_identifiers_of_new_shapes(spark):
+    """No base span has these shapes; the words around them are those of base spans."""
+    texts = [f"call +49 (30) 123-45{i:02} now" for i in range(30)] + [f"mail to bob{chr(97 + i)}@mail.example.com please" for i in range(20)]
+    new = {"555-123-4567": "call 555-123-4567 now", "(555) 123-4568": "call (555) 123-4568 now", "123-45-6789": "call 123-45-6789 now", "ann(at)host": "mail to ann(at)host please"}
+    other = [f"lot {i}55-{i}23-4567 of" for i in range(1, 9)] + ["the hall (at)home in"]
+    got = {r["doc_id"]: [(s["value"], s["kind"]) for s in r["spans"]] for r in pii.detect(documents(spark, [*texts, *new.values(), *other])).collect()}
+    found = [got[len(texts) + i] for i in range(len(new))]
+    assert found == [[(v, "email" if "at" in v else "phone")] for v in new]
+    assert not any(got[len(texts) + len(new) + i] for i in range(len(other)))
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>Menu</nav><div class='post-12'><h1>Head&amp;line</h1><p>One\n two <b>three</b></p><script>x</script><ul><li>Four</li></ul></div><div id=comments><p>Troll</p></div><footer>Foot</footer></body></html>"
     assert html.extract(page, None) == "Head&line\nOne two three\nFour"

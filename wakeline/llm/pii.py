@@ -2,8 +2,9 @@
 
 All of it is DataFrame work. The spans of the four fixed patterns are the seeds. Every identifier-like
 string is an instance; the word before it, the word after it and its shape are its patterns. A pattern
-is trusted as far as its instances are, an instance as far as its patterns are; after some rounds over
-that graph, instances that a trusted context and a trusted shape agree on become spans of their own.
+is trusted as far as its known instances are of one kind, an instance as far as the words around it
+are; its shape adds to that, but a shape never seen before is no objection. What is accepted is known
+in the next round, so its contexts and its shape find more; at the end it is a span of its own.
 """
 
 from __future__ import annotations
@@ -23,9 +24,19 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind, so the pattern isn't tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-#: Identifier-like strings: at least six characters with a digit group or an @ inside.
-CANDIDATE = r"(?<![^\s\"'(<\[=:])[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]{5,63}(?:[\x20-][0-9(][0-9().-]{2,16}){0,4}"
+#: An @ written as a word in brackets.
+_AT = r"\x20?[(\[{](?i:at)[)\]}]\x20?"
+#: Identifier-like strings: an address with a bracketed "at", groups of digits, or at least six characters
+#: with a digit group or an @ inside.
+CANDIDATE = (
+    r"(?<![^\s\"'(<\[=:])(?:[A-Za-z0-9._%+-]{1,64}" + _AT + r"[A-Za-z0-9][A-Za-z0-9.-]{0,63}"
+    r"|(?:\+?[0-9]{1,4}[\x20.-]?)?\([0-9]{1,5}\)(?:[\x20.-]?[0-9]{2,8}){1,4}(?![A-Za-z0-9@])"
+    r"|[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){2,4}(?![A-Za-z0-9@])"
+    r"|[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]{5,63}(?:[\x20-][0-9(][0-9().-]{2,16}){0,4})"
+)
 ROUNDS, SMOOTHING, LEAST_SEEDS, TRUST = 3, 1.0, 5, 0.9
+#: What an instance of no known kind weighs against a pattern, where a known one of another kind weighs 1.
+UNKNOWN = 0.25
 #: Characters of context looked at on either side.
 CONTEXT = 40
 _SPAN = "array<struct<start:int,k:int,end:int,kind:string,value:string>>"
@@ -87,16 +98,23 @@ def _shape(m: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    found = F.filter(located(text, CANDIDATE), lambda x: F.regexp_count(x["m"], F.lit("[0-9]")) + 4 * F.regexp_count(x["m"], F.lit("@")) >= 4)
-    trimmed = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], r"[^A-Za-z0-9)]+$", "").alias("m")))
+    found = F.filter(located(text, CANDIDATE), lambda x: F.regexp_count(x["m"], F.lit("[0-9]")) + 4 * F.regexp_count(x["m"], F.lit(f"@|{_AT}")) >= 4)
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], r"[^A-Za-z0-9)]+$", "").alias("m"), F.lit(None).cast("string").alias("seed")))
+
+
+def _instances(text: Column, base: Column) -> Column:
+    """Every base span as a seed, and the candidates that overlap none, with the words around them."""
+    seeds = F.transform(base, lambda b: F.struct(b["start"].alias("s"), b["value"].alias("m"), b["kind"].alias("seed")))
+    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["s"] + F.length(x["m"])) & (b["end"] > x["s"]))
     return F.transform(
-        trimmed,
+        F.concat(seeds, F.filter(_candidates(text), clear)),
         lambda x: F.struct(
+            x["seed"].alias("seed"),
             x["s"].alias("start"),
             (x["s"] + F.length(x["m"])).alias("end"),
             x["m"].alias("value"),
             F.lower(F.regexp_extract(F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))), r"(\S+)\s*$", 1)).alias("before"),
-            F.lower(F.regexp_extract(F.substring(text, x["s"] + F.length(x["m"]) + 1, F.lit(CONTEXT)), r"^\s*(\S+)", 1)).alias("after"),
+            F.lower(F.regexp_extract(F.substring(text, x["s"] + F.length(x["m"]) + F.lit(1), F.lit(CONTEXT)), r"^\s*(\S+)", 1)).alias("after"),
         ),
     )
 
@@ -111,9 +129,10 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     carried = [(text if c == "text" else F.col(c)).alias(c) for c in keep]
-    some = F.col("_text").rlike("[0-9@]")
+    some = F.col("_text").rlike(f"[0-9@]|{_AT}")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), F.struct(F.lit(0).alias("_"), *carried).alias("_kept"))
-    rows = rows.select("_row", "_doc", "_kept", F.when(some, base_spans(F.col("_text"))).otherwise(F.array().cast(_SPAN)).alias("base"), F.when(some, _candidates(F.col("_text"))).alias("cands"))
+    rows = rows.select("_row", "_doc", "_kept", "_text", F.when(some, base_spans(F.col("_text"))).otherwise(F.array().cast(_SPAN)).alias("base"))
+    rows = rows.select("_row", "_doc", "_kept", "base", F.when(some, _instances(F.col("_text"), F.col("base"))).alias("cands"))
     rows = cut(rows, "spans")
     more = _discovered(rows)
     joined = rows.join(more, "_row", "left")
@@ -122,28 +141,29 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _discovered(rows: DataFrame) -> DataFrame:
-    """(_row, found): spans of instances that seeds' contexts and shapes vouch for."""
-    at = rows.select("_row", "base", F.explode("cands").alias("c")).select("_row", "base", "c.*")
-    over = lambda f: F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")) & f(b))
-    same = F.filter("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")))
-    seed = F.when(F.size(same) > 0, F.element_at(same, 1)["kind"])
-    seen = at.withColumn("seed", seed).where(F.col("seed").isNotNull() | ~over(lambda b: F.lit(True)))
+    """(_row, found): spans of instances that the contexts of known ones vouch for."""
+    seen = rows.select("_row", F.explode("cands").alias("c")).select("_row", "c.*")
     names = F.array(F.concat(F.lit("L:"), "before"), F.concat(F.lit("R:"), "after"), F.concat(F.lit("S:"), _shape(F.col("value"))))
     edges = cut(seen.select("value", "seed", F.explode(names).alias("pattern")).where("length(pattern) > 2").groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "graph")
-    kinds = F.explode(F.array(*map(F.lit, KINDS))).alias("kind")
-    seeds = edges.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind")).select("value", "kind", F.lit(1.0).alias("score"))
-    support = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    vouched = edges.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    scores = seeds
+    seeds = cut(seen.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind")).select("value", "kind", F.lit(1.0).alias("score")), "seeds")
+    pairs = edges.select("value", "pattern")
+    open_pairs = pairs.join(seeds.select("value"), "value", "left_anti")
+    support = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
+    known = seeds
     for _ in range(ROUNDS):
-        mass = edges.select("value", "pattern").join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        trust = vouched.join(mass, ["pattern", "kind"]).join(support, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + SMOOTHING)).alias("trust"))
-        of = lambda p: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1).isin(*p), F.col("trust"))), F.lit(0.0))
-        new = edges.select("value", "pattern").join(trust, "pattern").groupBy("value", "kind").agg((of("LR") * of("S")).alias("score"))
-        scores = cut(new.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
-    best = scores.where(F.col("score") >= TRUST * TRUST).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        mass = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("k"))
+        every = mass.groupBy("pattern").agg(F.sum("k").alias("all"))
+        against = F.col("all") - F.col("k") + UNKNOWN * (F.col("n") - F.col("all")) + SMOOTHING
+        trust = mass.where(F.col("k") >= LEAST_SEEDS).join(every, "pattern").join(support, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("k") + against)).alias("trust"))
+        of = lambda p: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1) == p, F.col("trust"))), F.lit(0.0))
+        context = 1 - (1 - F.col("L")) * (1 - F.col("R"))
+        parts = open_pairs.join(trust, "pattern").groupBy("value", "kind").agg(of("L").alias("L"), of("R").alias("R"), of("S").alias("S")).withColumn("C", context)
+        new = parts.select("value", "kind", (F.col("C") + (1 - F.col("C")) * F.col("C") * F.col("S")).alias("score")).where(F.col("score") >= TRUST * TRUST)
+        best = cut(new.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "scores")
+        known = best.unionByName(seeds)
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    hits = seen.where("seed IS NULL").join(best, "value")
+    # what some base span is elsewhere, too: the same string is the same identifier
+    hits = seen.where("seed IS NULL").join(best.unionByName(seeds), "value")
     span = F.struct(F.col("start"), number.alias("k"), F.col("end"), F.col("kind"), F.col("value"))
     return hits.groupBy("_row").agg(F.collect_list(span).cast(_SPAN).alias("found"))
 
