@@ -208,6 +208,18 @@ def test_html():
     assert html.extract(None, None) == html.extract("", ["x"]) == html.extract("<div></div>", None) == ""
 
 
+def test_html_keeps_all_of_an_article():
+    """No text beside the fullest container goes, nor a container for a word inside a class name."""
+    lead, body = "Lead words. " * 5, "Body words. " * 20
+    page = f"<body><nav><a href=x>Menu</a></nav><article><div class=lead><h1>Title</h1><p>{lead}</p></div><div class=body><p>{body}</p></div></article><div class=sidebar><a>More</a></div></body>"
+    assert html.extract(page, None) == f"Title\n{lead.strip()}\n{body.strip()}"
+    assert html.extract(page, [html.vote(html.blocks(page))[0]]) == html.extract(page, None)
+    for name in ("main has-sidebar", "post comments-open", "elementor-widget", "entry-header", "comments"):
+        assert html.extract(f"<body><div class='{name}'><p>{body}</p></div><div class=menu><a>Home</a></div></body>", None) == body.strip()
+    two = f"<body><div class='entry-header'><h1>Title</h1></div><div><p>{body}</p></div></body>"
+    assert html.extract(two, None) == f"Title\n{body.strip()}"
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(2)
     big = base64.b64encode(rng.randbytes(1500)).decode()

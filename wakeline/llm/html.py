@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.shared import cut, map_batches
 
-#: A page votes for its deepest container with this share of the text; a path wins on a host with this
-#: share of the leading path's votes.
-DEEP, WIN = 0.7, 0.1
+#: A path wins on a host with this share of the leading path's votes.
+WIN = 0.1
+#: Page chrome has less than this share of the page's text, or mostly links; what has most of the text never is.
+LITTLE, LINKY, MOST = 0.25, 0.5, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CONTAINERS = frozenset("html body div article section main aside nav header footer form table tbody thead tfoot tr td th ul ol dl figure blockquote details fieldset center menu dialog".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption summary address hr legend option button label".split())
 _DROPPED = frozenset("aside nav header footer form menu dialog fieldset".split())
 _DROPPED_BLOCKS = frozenset("button label legend option".split())
-_CHROME = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|side-?bar|nav\w*|menu|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|respond|widget|pager|pagination|login|signup|toolbar|copyright|disclaimer)(?:[^a-z]|$)", re.I)
+_CHROME = re.compile(r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|side-?bar|nav\w*|menu|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|respond|widget|pager|pagination|login|signup|toolbar|copyright|disclaimer)", re.I)
+_PART = re.compile(rf"(?:^|[^a-z])(?:{_CHROME.pattern})(?:[^a-z]|$)", re.I)
 
 
 def generalised(tag: str, classes: str) -> str:
@@ -37,11 +39,14 @@ def generalised(tag: str, classes: str) -> str:
 def blocks(html: str | None) -> list[tuple[str, str, int]]:
     """Text blocks of a page in order: container path, text, characters inside links.
 
-    Blocks of page chrome (by tag, role, class or id, or hidden) are left out.
+    Hidden blocks and those in tags of page chrome are left out, and containers with a word of chrome as a
+    whole class, id or role, if they hold little text or mostly links; with one as part of a name only if
+    they hold little text, mostly links. None with most of the page's text goes for its names.
     """
     source = html or ""
-    stack: list[tuple[str, str, bool]] = []  # tag, path, dropped
-    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, dropped, suspects around
+    out: list[tuple[str, str, int, tuple[int, ...]]] = []
+    suspects: list[list] = []  # whole name, characters, those outside links
     text: list[str] = []
     links, in_link, in_button = 0, False, False
 
@@ -49,7 +54,11 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         nonlocal links
         line = " ".join(_html.unescape("".join(text)).split())
         if line and not (stack and stack[-1][2]):
-            out.append((stack[-1][1] if stack else "", line, links))
+            around = stack[-1][3] if stack else ()
+            out.append((stack[-1][1] if stack else "", line, links, around))
+            for i in around:
+                suspects[i][1] += len(line)
+                suspects[i][2] += max(0, len(line) - links)
         text.clear()
         links = 0
 
@@ -75,12 +84,17 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             elif not m[4].endswith("/"):
                 found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if m[4].strip() else {}
                 names = found.get("class", "")
-                marks = f"{names} {found.get('id', '')} {found.get('role', '')}"
+                marks = f"{names} {found.get('id', '')} {found.get('role', '')}".split()
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                inside = bool(stack) and stack[-1][2]
                 story = tag == "header" and any(s[0] == "article" for s in stack)
-                dropped = inside or hidden or (tag in _DROPPED and not story) or bool(marks.strip() and tag not in ("html", "body") and _CHROME.search(marks))
-                stack.append((tag, (stack[-1][1] + ">" if stack else "") + generalised(tag, names), dropped))
+                named = tag not in ("html", "body")
+                hidden = hidden or (tag in _DROPPED and not story)
+                whole = named and any(map(_CHROME.fullmatch, marks))
+                around = stack[-1][3] if stack else ()
+                if whole or named and any(map(_PART.search, marks)):
+                    around = (*around, len(suspects))
+                    suspects.append([whole, 0, 0])
+                stack.append((tag, (stack[-1][1] + ">" if stack else "") + generalised(tag, names), hidden or bool(stack) and stack[-1][2], around))
         elif tag in _BLOCKS:
             flush()
             in_link = False
@@ -92,25 +106,28 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     if at < len(source) and not in_button:
         text.append(source[at:])
     flush()
-    return out
+    total = sum(max(0, len(line) - n) for _, line, n, _ in out)
+
+    def chrome(whole: bool, n: int, plain: int) -> bool:
+        little, linky = plain < LITTLE * total, plain <= LINKY * n
+        return plain <= MOST * total and (little or linky if whole else little and linky)
+
+    gone = {i for i, x in enumerate(suspects) if chrome(*x)}
+    return [(path, line, n) for path, line, n, around in out if gone.isdisjoint(around)]
 
 
 def vote(found: list[tuple[str, str, int]]) -> tuple[str, int] | None:
-    """The deepest container with most of the page's text (link text doesn't count), and its score."""
-    score: dict[str, int] = {}
-    for path, line, links in found:
-        score[path] = score.get(path, 0) + max(0, len(line) - links)
-    total = sum(score.values())
-    if not total:
+    """The deepest container that holds all of the page's text but for blocks of mostly links, and its size."""
+    body = [(path.split(">"), len(line) - links) for path, line, links in found if links <= LINKY * len(line)]
+    if not body:
+        body = [(path.split(">"), len(line) - links) for path, line, links in found if links < len(line)]
+    if not body:
         return None
-    under: dict[str, int] = {}
-    for path, n in score.items():
-        steps = path.split(">")
-        for i in range(1, len(steps) + 1):
-            p = ">".join(steps[:i])
-            under[p] = under.get(p, 0) + n
-    best = max((p for p, n in under.items() if n >= DEEP * total), key=lambda p: (p.count(">"), under[p], p))
-    return best, under[best]
+    low, high = min(b[0] for b in body), max(b[0] for b in body)
+    same = 0
+    while same < min(len(low), len(high)) and low[same] == high[same]:
+        same += 1
+    return ">".join(low[:same]), sum(n for _, n in body)
 
 
 def extract(html: str | None, winners: list[str] | None) -> str:
@@ -121,7 +138,7 @@ def extract(html: str | None, winners: list[str] | None) -> str:
     if not path or not size[path]:
         own = vote(found)
         path = own[0] if own else None
-    return "\n".join(line for p, line, _ in found if p == path or p.startswith(f"{path}>")) if path is not None else ""
+    return "\n".join(line for p, line, _ in found if not path or p == path or p.startswith(f"{path}>")) if path is not None else ""
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +164,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """pages -> (page_id, url, text), a row for each input row.
 
     A null html is empty and gives an empty text; a null url belongs to the host ''. Blocks follow page
-    order, white space inside one is one space, and none is dropped or cut but for page chrome. Ties
-    between containers go to the deeper, fuller, then later path. Repeated rows give repeated rows;
+    order, white space inside one is one space, and none is dropped or cut but for page chrome. Of
+    a host's winning paths the fullest on a page holds, then the later one. Repeated rows give repeated rows;
     other columns are ignored. The winners are read back as a table, so Spark knows their size and
     broadcasts them only if they are small.
     """
