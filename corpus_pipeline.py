@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontamination, packing, pii, simhash, toxicity
+from wakeline.llm import decontamination, packing, pii, similar, toxicity
 from wakeline.llm.shared import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,10 +27,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    more = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _kept(docs, cut(more, "copies"))
+    """Of each group of similar documents (sets of five-word shingles, similarity 0.8) the row with the least doc_id stays.
+
+    A row without a doc_id comes after those with one; of rows with the same doc_id one stays.
+    """
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
+    found = cut(similar.groups(rows.select(F.col("_row").alias("id"), "text")).withColumnRenamed("id", "_row"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stays = rows.select("_row", "doc_id").join(found, "_row").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(cut(stays.select("_row"), "stays"), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from oracle_check import differences
 
 import corpus_pipeline
-from wakeline.llm import decontamination, html, lm, packing, pii, queries, simhash, suffix, topk, toxicity, warc
+from wakeline.llm import decontamination, html, lm, packing, pii, queries, simhash, similar, suffix, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "row long, id string, key long, part int, n long, u long, v long, base string, spans string, cands string"
@@ -275,3 +275,52 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
     assert 0 < docs.count() < spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def jaccard(x, y):
+    """Similarity of the sets of five-word shingles, in plain Python."""
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((x or "").lower().split(), (y or "").lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def plain_roots(texts):
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def near_texts():
+    """Copies with a few words changed: similarities on both sides of 0.8."""
+    rng = random.Random(9)
+    texts = [None, "", "one two", "one  TWO", "one three"]
+    for changes in range(14):
+        base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+        for _ in range(3):
+            texts.append(" ".join(base))
+            for i in rng.sample(range(len(base)), changes // 2):
+                base[i] = f"x{rng.randrange(9999)}"
+    return texts
+
+
+@pytest.mark.parametrize("slice_rows", [1024, 2])
+def test_similar_groups(spark, slice_rows):
+    texts = near_texts()
+    got = {r["id"]: r["root"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4), slice_rows=slice_rows).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_roots(texts)
+
+
+def test_pipeline_drops_near_duplicates(spark):
+    """Rows without and with repeated ids: one row of each group stays."""
+    texts = near_texts()
+    ids = [None if i % 5 == 4 else i // 2 for i in range(len(texts))]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    best = {}
+    for i, root in enumerate(plain_roots(texts)):
+        best[root] = min(best.get(root, (True, 0, 10**9)), (ids[i] is None, ids[i] or 0, i))
+    assert sorted(got, key=str) == sorted(((ids[i], texts[i]) for *_, i in best.values()), key=str)
