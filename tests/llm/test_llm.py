@@ -266,6 +266,20 @@ def test_toxicity_held_out(spark):
     assert precision >= 0.8 and recall >= 0.8
 
 
+@pytest.mark.parametrize("share", [0.5, 0.85])
+def test_toxicity_with_many_toxic_labels(spark, share):
+    """Marked words are some times likelier in toxic rows, never absent from clean ones."""
+    rng = random.Random(4)
+    toxic = [int(rng.random() < share) for _ in range(600)]
+    word = lambda y: rng.choice("bcdfghjk") + ("ad" if rng.random() < (0.25 if y else 0.03) else rng.choice(["om", "um", "im", "em"]))
+    docs = documents(spark, [" ".join(word(y) for _ in range(60)) for y in toxic])
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    assert any(w > 0 for w in model.weights.values())
+    got = [(r["score"] >= 0.5, toxic[r["doc_id"]]) for r in toxicity.toxicity(docs, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert sum(p == bool(y) for p, y in got) >= 0.9 * len(got)
+    assert any(r["passages"] for r in toxicity.toxicity(docs, model).collect())
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

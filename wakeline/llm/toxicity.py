@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
 Terms get log-odds between toxic and clean training documents under an informative Dirichlet prior
-(the term's own overall frequency). A document is then a sequence of scores; one linear scan finds
+(the term's own overall frequency, in proportion to the label's size). Terms of either label count. A document is then a sequence of scores; one linear scan finds
 every maximal segment, an extreme-value law turns a segment's score into the number of such segments
 that clean text of that length gives by chance, and the significant ones add up to the document's
 evidence.
@@ -23,10 +23,10 @@ from wakeline.llm.shared import cut, map_batches
 
 #: The model is fitted on at most so many labelled rows, chosen by a hash of doc_id.
 SAMPLE_ROWS = 40_000
-#: Weight of the prior, as a share of the counts; terms below this z value or these log-odds (a matter
-#: of language or topic rather than of toxicity) say nothing.
-PRIOR, LEAST_Z, LEAST_ODDS = 0.05, 3.0, 3.0
-#: Terms the model holds at most: those with the largest z.
+#: Weight of the prior, as a share of each label's counts; terms whose log-odds are within this many
+#: standard errors of 0 say nothing.
+PRIOR, LEAST_Z = 0.05, 3.0
+#: Terms the model holds at most: those with the largest z, of either sign.
 MAX_TERMS = 200_000
 PREFIX, THRESHOLD = 5, 0.3
 #: A segment counts as significant if clean text of this length has at most so many by chance.
@@ -113,16 +113,17 @@ def _lexicon(train: DataFrame) -> dict[str, float]:
     counts = cut(map_batches(train, _counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 > 1"), "terms")
     sums = counts.agg(F.sum("n1"), F.sum("n0")).first()
     t1, t0 = float(sums[0] or 0), float(sums[1] or 0)
-    prior = PRIOR * (F.col("n1") + F.col("n0"))
-    odds = lambda n, t: F.log((F.col(n) + prior) / (F.lit(t + PRIOR * (t1 + t0)) - F.col(n) - prior))
+    # a label's prior is in proportion to its size, so the mix of labels doesn't bound the log-odds
+    prior = lambda t: PRIOR * (F.col("n1") + F.col("n0")) * F.lit(t / max(1.0, t1 + t0))
+    odds = lambda n, t: F.log((F.col(n) + prior(t)) / (F.lit((1 + PRIOR) * t) - F.col(n) - prior(t)))
     delta = odds("n1", t1) - odds("n0", t0)
-    z = delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    best = counts.select("term", delta.alias("delta"), F.abs(z).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_ODDS)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return {r["term"]: r["delta"] for r in best.select("term", "delta").collect()}
+    z = delta / F.sqrt(1 / (F.col("n1") + prior(t1)) + 1 / (F.col("n0") + prior(t0)))
+    best = counts.select("term", delta.alias("delta"), F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    return {r["term"]: r["delta"] for r in best.select("term", "delta").collect()} if t1 and t0 else {}
 
 
 def _rates(model: Model):
-    """Tokens and positive tokens by label."""
+    """Tokens and those with a score of their own by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +131,7 @@ def _rates(model: Model):
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 s = model.scores(terms(text))
                 n[y] += len(s)
-                k[y] += int((s > 0).sum())
+                k[y] += int((s != 0).sum())
             yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(n), pa.array(k)], ["toxic", "n", "k"])
 
     return run
