@@ -10,20 +10,30 @@ from wakeline.llm import decontamination, packing, pii, similar, toxicity
 from wakeline.llm.shared import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Not SQL: the model, the components and the packing iterate. Tested against plain Python.
+#: Not SQL: the model, the components and the packing iterate. What run() keeps is tested against plain Python.
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in ids, a table of its own whose size Spark knows."""
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, as a table: doc_id may be null or repeat."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
+
+
+def _as_id(rows: DataFrame) -> DataFrame:
+    """What the operators look at, the row's number in place of doc_id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _kept(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows whose number isn't a doc_id of bad, in the input's columns."""
+    return rows.join(cut(bad.select(F.col("doc_id").alias("_row")), "bad"), "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go. The model learns from labelled documents given."""
+    """Documents that the toxicity score rejects go, each row by its own text. The model learns from labelled documents given."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.toxicity(docs, model).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return _kept(docs, cut(bad, "toxic"))
+    rows = _numbered(docs)
+    return _kept(rows, toxicity.toxicity(_as_id(rows), model).where(F.col("score") >= toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without a doc_id comes after those with one; of rows with the same doc_id one stays.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
+    rows = _numbered(docs)
     found = cut(similar.groups(rows.select(F.col("_row").alias("id"), "text")).withColumnRenamed("id", "_row"), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     stays = rows.select("_row", "doc_id").join(found, "_row").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
@@ -39,9 +49,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, cut(found.where("contaminated").select("doc_id").where("doc_id IS NOT NULL").distinct(), "contaminated"))
+    """Documents contaminated by benchmark items go, each row by its own text."""
+    rows = _numbered(docs)
+    return _kept(rows, decontamination.contamination(_as_id(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

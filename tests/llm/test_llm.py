@@ -338,3 +338,32 @@ def test_pipeline_drops_near_duplicates(spark):
     for i, root in enumerate(plain_roots(texts)):
         best[root] = min(best.get(root, (True, 0, 10**9)), (ids[i] is None, ids[i] or 0, i))
     assert sorted(got, key=str) == sorted(((ids[i], texts[i]) for *_, i in best.values()), key=str)
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """run() over null and repeated ids: each row goes or stays by its own text, one of each group stays."""
+    rng = random.Random(6)
+    plain = lambda n=40: " ".join(f"w{rng.randrange(99999)}" for _ in range(n))
+    clean, toxic = ([f"{plain(20)} {mark} {plain(20)}" for _ in range(60)] for mark in ("kindly " * 8, "vilest " * 8))
+    item, copy = plain(30), plain()
+    rows = [*enumerate(clean), *((100 + i, t) for i, t in enumerate(toxic))]
+    extra = [(None, toxic[0]), (None, f"{plain()} {item} {plain()}"), (0, toxic[1]), (200, f"{plain()} {item}"), (200, plain())]
+    extra += [(None, copy), (None, copy), (300, copy), (300, copy), (None, clean[5]), (400, plain() + " a.b@c.de"), (None, plain()), (None, None), (None, "")]
+    rows += extra
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows[:120]], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(d, t) for d, t in rows if "vilest" not in (t or "")]
+    best = {}
+    for i, root in enumerate(plain_roots([t for _, t in left])):
+        best[root] = min(best.get(root, (True, 0, 10**9)), (left[i][0] is None, left[i][0] or 0, i))
+    want = [left[i] for *_, i in best.values() if item not in (left[i][1] or "")]
+    want = [(d, None if t is None else t.replace("a.b@c.de", "[EMAIL]")) for d, t in want]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}").cache()
+    assert sorted(((r["doc_id"], r["text"] or None) for r in docs.collect()), key=str) == sorted(((d, t or None) for d, t in want), key=str)
+    packed = corpus_pipeline.run(spark, f"{tmp_path}").where("piece = 0").collect()
+    assert sorted((r["doc_id"] for r in packed), key=str) == sorted((d for d, _ in want), key=str)
