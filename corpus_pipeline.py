@@ -57,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in brackets; n_chars follows."""
     found = pii.detect(docs, keep=("text", "lang", "source"))
-    clean = found.withColumn("text", pii.redact(F.col("text"), F.col("spans")))
+    clean = found.withColumn("text", pii.redact(F.col("text"), F.col("masks")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

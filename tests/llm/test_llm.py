@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from oracle_check import differences
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wakeline.llm import decontamination, html, lm, packing, pii, queries, simhash, similar, suffix, topk, toxicity, warc
@@ -202,6 +204,54 @@ def test_identifiers_of_new_shapes(spark):
     assert not any(got[len(texts) + len(new) + i] for i in range(len(other)))
 
 
+def test_secrets_by_their_contexts(spark):
+    """Seeds are long mixed strings after an assignment; their contexts find others, which no seed's shape has."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    fill = lambda: " ".join(word() for _ in range(rng.randrange(3, 12)))
+    seeds = [f'{fill()} token = "{rng.randbytes(20).hex()}" {fill()}' for _ in range(60)]
+    held = [f'{fill()} token = "{w}" {fill()}' for w in ("blue-Harbor-7", "correcthorsebattery", "p4ss!w0rd?", "x" * 300)]
+    spoken = [f'{fill()} the word "{word()}{word()}" is {fill()}, class="{word()}{word()}" {rng.randrange(10**9)} on {2000 + i}-01-02' for i in range(60)]
+    again = f"{fill()} {seeds[0].split(chr(34))[1]} {fill()}"
+    texts = [*seeds, *held, *spoken, again, None]
+    got = {r["doc_id"]: r for r in pii.detect(documents(spark, texts)).collect()}
+    found = {i: [s["value"] for s in r["spans"]] for i, r in got.items()}
+    want = [[t.split(chr(34))[1]] for t in seeds + held]
+    assert [found[i] for i in range(len(want))] == want
+    assert found[len(texts) - 2] == want[0]
+    assert not any(found[len(want) + i] for i in range(len(spoken)))  # precision 1 here
+    assert not any(r["base"] for r in got.values())
+
+
+def test_new_spans_at_small_scale(spark):
+    """Of the secrets in the test data, and of base spans, none is missed."""
+    rows = pii.detect(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep=("text",)).collect()
+    want = {(r["doc_id"], *m.span(1)) for r in rows for m in re.finditer('token = "([^"]+)"', r["text"])}
+    got = {(r["doc_id"], s["start"], s["end"]) for r in rows for s in r["spans"] if s["kind"] == "secret"}
+    assert want and want <= got
+    assert all(set(r["base"]) <= set(r["spans"]) for r in rows)
+
+
+def test_long_text_of_identifiers(spark):
+    """Positions are right and redaction whole in a text of many matches; time grows as the length."""
+    texts = ["é a.b@c.de 1.2.3.4 n 5551234567 " * n for n in (1, 20_000)]
+    took = {}
+    for i, text in enumerate(texts):
+        began = time.perf_counter()
+        found = pii.detect(documents(spark, [text]), keep=("text",))
+        r = found.select("base", "masks", pii.redact(F.col("text"), F.col("masks")).alias("red")).first()
+        took[i] = time.perf_counter() - began
+        assert [(s["start"], s["end"]) for s in r["base"]] == [(a, b) for k in range(text.count("n")) for a, b in ((32 * k + 2, 32 * k + 10), (32 * k + 11, 32 * k + 18))]
+        assert r["red"] == text.replace("a.b@c.de", "[EMAIL]").replace("1.2.3.4", "[IP]")
+    assert took[1] < 60
+
+
+def test_redaction_of_overlapping_spans(spark):
+    text = "x" * 600 + "0.0.0.0.0 y@z.w" + "é" * 600
+    rows = spark.createDataFrame([(text, [(600, 605, "ip"), (611, 616, "email")])], "text string, masks array<struct<start:int,end:int,kind:string>>")
+    assert rows.select(pii.redact(F.col("text"), F.col("masks"))).first()[0] == text[:600] + "[IP]" + text[605:611] + "[EMAIL]" + text[616:]
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>Menu</nav><div class='post-12'><h1>Head&amp;line</h1><p>One\n two <b>three</b></p><script>x</script><ul><li>Four</li></ul></div><div id=comments><p>Troll</p></div><footer>Foot</footer></body></html>"
     assert html.extract(page, None) == "Head&line\nOne two three\nFour"

@@ -1,20 +1,25 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapping from their contexts.
 
-All of it is DataFrame work. The spans of the four fixed patterns are the seeds. Every identifier-like
-string is an instance; the word before it, the word after it and its shape are its patterns. A pattern
-is trusted as far as its known instances are of one kind, an instance as far as the words around it
-are; its shape adds to that, but a shape never seen before is no objection. What is accepted is known
-in the next round, so its contexts and its shape find more; at the end it is a span of its own.
+All of it is DataFrame work. Seeds are the spans of the four fixed patterns, and long mixed strings that
+are assigned to a name, as seeds of secrets. Every identifier-like string is an instance; the words
+before it, the words after it and its shape are its patterns. A pattern is trusted as far as the known
+instances it has are of one kind, an instance as far as the patterns around it are; its shape adds to
+that, but a shape never seen before is no objection. What is accepted is known in the next round, so its
+contexts and its shape find more; at the end it is a span of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.shared import cut
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: The patterns, with possessive loops and a guard at the left: same matches, but no backtracking.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -26,70 +31,81 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 #: An @ written as a word in brackets.
 _AT = r"\x20?[(\[{](?i:at)[)\]}]\x20?"
-#: Identifier-like strings: an address with a bracketed "at", groups of digits, or at least six characters
-#: with a digit group or an @ inside.
+#: Identifier-like strings: a quoted value after = or :, an address with a bracketed "at", groups of digits,
+#: or at least six characters without a blank, four of them digits or one an @.
 CANDIDATE = (
-    r"(?<![^\s\"'(<\[=:])(?:[A-Za-z0-9._%+-]{1,64}" + _AT + r"[A-Za-z0-9][A-Za-z0-9.-]{0,63}"
+    r"(?<=[=:]\x20?[\"'])[^\s\"'<>]{6,}+(?=[\"'])"
+    r"|(?<![^\s\"'(<\[=:])(?:[A-Za-z0-9._%+-]++" + _AT + r"[A-Za-z0-9][A-Za-z0-9.-]*+"
     r"|(?:\+?[0-9]{1,4}[\x20.-]?)?\([0-9]{1,5}\)(?:[\x20.-]?[0-9]{2,8}){1,4}(?![A-Za-z0-9@])"
     r"|[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){2,4}(?![A-Za-z0-9@])"
-    r"|[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]{5,63}(?:[\x20-][0-9(][0-9().-]{2,16}){0,4})"
+    r"|(?=(?:[A-Za-z@._%+()/-]*+[0-9]){4}|[A-Za-z0-9._%+()/-]*+@)[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]{5,}+)"
 )
-ROUNDS, SMOOTHING, LEAST_SEEDS, TRUST = 3, 1.0, 5, 0.9
-#: What an instance of no known kind weighs against a pattern, where a known one of another kind weighs 1.
-UNKNOWN = 0.25
-#: Characters of context looked at on either side.
-CONTEXT = 40
+#: A seed of a secret: at least so long, letters and digits mixed, right after an assignment.
+SECRET = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_=-]{20,}$"
+ASSIGNED = r"[=:]\s*[\"']?$"
+#: Rounds at most; what unknown instances weigh against a pattern (known ones of another kind weigh 1) and
+#: a constant that does, too; known instances that a pattern needs.
+ROUNDS, UNKNOWN, SMOOTHING, LEAST_SEEDS = 3, 0.25, 1.0, 5
+#: An instance is accepted if its best sighting scores so much, and all its sightings on average so much.
+ACCEPTED, ON_AVERAGE = 0.8, 0.5
+#: Characters on either side in which its words are looked for.
+CONTEXT = 64
+#: Parts into which a frequent pattern or value is dealt.
+SALTS = 8
+_W, _P = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]*"
 _SPAN = "array<struct<start:int,k:int,end:int,kind:string,value:string>>"
+_MASK = "array<struct<start:int,end:int,kind:string>>"
+_PIECE = "array<struct<k:int,i:int,gap:int,m:string,before:string,after:string>>"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), where value is worked out once: an array of one binds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
+def _pieces(text: Column, k: int, pattern: str) -> Column:
+    """Each match with the number of code points since the match before, and the text on either side.
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<s, m>>: each match and the code point at which it starts."""
-    step = lambda z: F.aggregate(
-        F.sequence(F.lit(1), F.size(z["m"])),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("out")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(F.element_at(z["g"], i)) + F.length(F.element_at(z["m"], i))).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(F.element_at(z["g"], i))).alias("s"), F.element_at(z["m"], i).alias("m")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    The context ends at the neighbouring match. Every part of the text is looked at a fixed number of times.
+    """
     both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    # an array of one binds the struct, so that the pattern runs once over the text
-    return F.element_at(F.transform(F.array(both), lambda z: F.when(F.size(z["m"]) > 0, step(z)).otherwise(F.array().cast("array<struct<s:int,m:string>>"))), 1)
+
+    def piece(z: Column, m: Column, i: Column) -> Column:
+        before, after = F.get(z["g"], i), F.get(z["g"], i + 1)
+        return F.struct(F.lit(k).alias("k"), i.alias("i"), F.length(before).alias("gap"), m.alias("m"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
+
+    return _bound(both, lambda z: F.transform(z["m"], lambda m, i: piece(z, m, i)))
+
+
+def _found(text: Column) -> Column:
+    """All matches of the fixed patterns and all candidates, kind by kind."""
+    none = F.array().cast(_PIECE)
+
+    def of(k: int, kind: str) -> Column:
+        hint = text.contains(HINTS[kind]) if kind == "email" else text.rlike(HINTS[kind])
+        return F.when(hint, _pieces(text, k, PATTERNS[kind])).otherwise(none)
+
+    some = text.rlike(rf"[0-9@]|{_AT}|[=:]\x20?[\"']")
+    every = F.concat(*(of(k, kind) for k, kind in enumerate(BASE)), _pieces(text, len(BASE), CANDIDATE).cast(_PIECE))
+    return F.when(some, every).otherwise(none)
 
 
 def _luhn(m: Column) -> Column:
     def total(digits: Column) -> Column:
-        def add(a: Column, i: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
             d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
             twice = 2 * d
             return a + F.when(i % 2 == 1, d).when(twice > 9, twice - 9).otherwise(twice)
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step)
 
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    return F.element_at(F.transform(F.array(digits), lambda d: F.when(F.length(d).between(12, 19), total(d) % 10 == 0).otherwise(False)), 1)
+    return _bound(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(F.length(d).between(12, 19), total(d) % 10 == 0).otherwise(False))
 
 
-def _valid(kind: str, m: Column) -> Column:
-    if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
-    if kind == "card":
-        return _luhn(m)
-    if kind == "phone":
-        return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
-    return F.lit(True)
-
-
-def base_spans(text: Column) -> Column:
-    """Spans of the fixed patterns, by start and then by kind as listed; failing matches are dropped."""
-    def of(k: int, kind: str) -> Column:
-        hint = text.contains(HINTS[kind]) if kind == "email" else text.rlike(HINTS[kind])
-        found = F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"]))
-        spans = F.transform(found, lambda x: F.struct(x["s"].alias("start"), F.lit(k).alias("k"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value")))
-        return F.when(hint, spans).otherwise(F.array().cast(_SPAN))
-
-    return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
+def _valid(k: Column, m: Column) -> Column:
+    ip = F.forall(F.split(m, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
+    phone = F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
+    return F.when(k == 1, ip).when(k == 2, _luhn(m)).when(k == 3, phone).otherwise(F.lit(True))
 
 
 def _shape(m: Column) -> Column:
@@ -97,89 +113,135 @@ def _shape(m: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(m, "[0-9]", "9"), "[A-Za-z]+", "a")
 
 
-def _candidates(text: Column) -> Column:
-    found = F.filter(located(text, CANDIDATE), lambda x: F.regexp_count(x["m"], F.lit("[0-9]")) + 4 * F.regexp_count(x["m"], F.lit(f"@|{_AT}")) >= 4)
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], r"[^A-Za-z0-9)]+$", "").alias("m"), F.lit(None).cast("string").alias("seed")))
-
-
-def _instances(text: Column, base: Column) -> Column:
-    """Every base span as a seed, and the candidates that overlap none, with the words around them."""
-    seeds = F.transform(base, lambda b: F.struct(b["start"].alias("s"), b["value"].alias("m"), b["kind"].alias("seed")))
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["s"] + F.length(x["m"])) & (b["end"] > x["s"]))
-    return F.transform(
-        F.concat(seeds, F.filter(_candidates(text), clear)),
-        lambda x: F.struct(
-            x["seed"].alias("seed"),
-            x["s"].alias("start"),
-            (x["s"] + F.length(x["m"])).alias("end"),
-            x["m"].alias("value"),
-            F.lower(F.regexp_extract(F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))), r"(\S+)\s*$", 1)).alias("before"),
-            F.lower(F.regexp_extract(F.substring(text, x["s"] + F.length(x["m"]) + F.lit(1), F.lit(CONTEXT)), r"^\s*(\S+)", 1)).alias("after"),
-        ),
-    )
+def _instances(rows: DataFrame) -> DataFrame:
+    """(_row, start, end, value, before, after, seed): valid matches as seeds, and candidates that overlap none."""
+    each = rows.select("_row", F.explode("found").alias("f")).select("_row", "f.*").repartition("_row")
+    so_far = Window.partitionBy("_row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.sum(F.col("gap") + F.length("m")).over(so_far) - F.length("m")
+    quoted = F.col("before").rlike("[\"']$")
+    value = F.when((F.col("k") < len(BASE)) | quoted, F.col("m")).otherwise(F.regexp_replace("m", r"[^A-Za-z0-9)]+$", ""))
+    placed = each.select("_row", "k", at.cast("int").alias("start"), value.alias("value"), "before", "after", "m").where(_valid(F.col("k"), F.col("m")) & (F.col("value") != ""))
+    placed = placed.withColumn("end", F.col("start") + F.length("value")).drop("m")
+    is_base = F.col("k") < len(BASE)
+    back = Window.partitionBy("_row").orderBy("start", "k").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({"_end": F.max(F.when(is_base, F.col("end"))).over(back), "_next": F.min(F.when(is_base, F.col("start"))).over(ahead)})
+    clear = is_base | (F.coalesce(F.col("_end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_next") >= F.col("end"), F.lit(True)))
+    secret = F.col("value").rlike(SECRET) & F.col("before").rlike(ASSIGNED)
+    seed = F.when(is_base, F.col("k")).when(secret, F.lit(KINDS.index("secret")))
+    tidy = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    words = {"before": tidy(F.regexp_extract("before", rf"((?:{_W}{_P}){{1,2}})$", 1)), "after": tidy(F.regexp_extract("after", rf"^((?:{_P}{_W}){{1,2}})", 1))}
+    return placed.where(clear).select("_row", "start", "end", "value", *(c.alias(n) for n, c in words.items()), seed.alias("seed"))
+
+
+def _patterns() -> Column:
+    """The patterns of a sighting: one or two words on either side with the marks between, and the shape."""
+    one = F.regexp_extract("before", rf"({_W}{_P})$", 1), F.regexp_extract("after", rf"^({_P}{_W})", 1)
+    two = F.col("before"), F.col("after")
+    entry = lambda side, depth, c: F.struct(F.lit(side).alias("side"), F.lit(depth).alias("depth"), F.concat(F.lit(side + ":"), c).alias("pattern"))
+    sides = [entry(s, d, c[j]) for j, s in enumerate("LR") for d, c in ((1, one), (2, two))]
+    # two words are a pattern of their own only where there are two
+    both = F.array(*sides[:1], F.when(two[0] != one[0], sides[1]), sides[2], F.when(two[1] != one[1], sides[3]), entry("S", 1, _shape(F.col("value"))))
+    return F.filter(both, lambda p: p.isNotNull() & (F.length(p["pattern"]) > 2))
+
+
+def _discovered(seen: DataFrame) -> DataFrame:
+    """(value, kind): the values that the contexts of known ones vouch for."""
+    kinds = range(len(KINDS))
+    sights = seen.groupBy("value", "before", "after").agg(F.max("seed").alias("seed"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    edges = sights.select("value", F.xxhash64("before", "after").alias("sight"), "seed", F.explode(_patterns()).alias("p")).select("value", "sight", "seed", "p.*")
+    edges = cut(edges, "graph")
+    pairs = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    stats = pairs.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("seed") == k).alias(f"s{k}") for k in kinds)).where(F.col("n") >= LEAST_SEEDS)
+    stats = cut(stats, "patterns")
+    unknown = edges.where("seed IS NULL").withColumns({"salt": salt("value"), "side_salt": salt("pattern")})
+    best, count = None, 0
+    for _ in range(ROUNDS):
+        if best is None:
+            known = stats.withColumns({f"m{k}": F.lit(0.0) for k in kinds} | {f"c{k}": F.lit(0) for k in kinds})
+        else:
+            more = unknown.join(best.withColumn("side_salt", spread), ["value", "side_salt"]).groupBy("pattern", "value").agg(F.first("kind").alias("kind"), F.first("score").alias("score"))
+            of = lambda k: F.col("kind") == k
+            more = more.groupBy("pattern").agg(*(F.sum(F.when(of(k), F.col("score")).otherwise(0.0)).alias(f"m{k}") for k in kinds), *(F.count_if(of(k)).alias(f"c{k}") for k in kinds))
+            known = stats.join(more, "pattern", "left").na.fill(0)
+        every = reduce(add, (F.col(f"s{k}") + F.col(f"c{k}") for k in kinds))
+        against = every + UNKNOWN * F.greatest(F.col("n") - every, F.lit(0)) + SMOOTHING
+        trust = F.array(*(F.when(F.col(f"s{k}") + F.col(f"c{k}") >= LEAST_SEEDS, (F.col(f"s{k}") + F.col(f"m{k}")) / against).otherwise(0.0) for k in kinds))
+        trusted = known.select("pattern", trust.alias("trust")).withColumn("salt", spread)
+        # on either side, the longest pattern that is frequent enough to be judged
+        side = lambda s: F.max_by("trust", F.when((F.col("side") == s) & F.col("trust").isNotNull(), F.col("depth"))).alias(s)
+        sighted = unknown.join(trusted, ["pattern", "salt"], "left").groupBy("value", "sight").agg(*map(side, "LRS"))
+        t = lambda s, k: F.coalesce(F.get(s, F.lit(k)), F.lit(0.0))
+        context = lambda k: 1 - (1 - t("L", k)) * (1 - t("R", k))
+        scored = sighted.select("value", *((context(k) + (1 - context(k)) * context(k) * t("S", k)).alias(f"x{k}") for k in kinds))
+        scored = scored.groupBy("value").agg(F.array(*(F.struct(F.avg(f"x{k}").alias("mean"), F.max(f"x{k}").alias("score"), F.lit(k).alias("kind")) for k in kinds)).alias("a"))
+        top = scored.select("value", F.array_max("a").alias("a")).where((F.col("a.score") >= ACCEPTED) & (F.col("a.mean") >= ON_AVERAGE))
+        best = cut(top.select("value", "a.kind", "a.score"), "accepted")
+        before, count = count, best.count()
+        if count == before:
+            break
+    return best.select("value", "kind")
+
+
+def _spans(seen: DataFrame) -> DataFrame:
+    """(_row, base, spans, masks) of the rows that have any."""
+    seeds = seen.where("seed IS NOT NULL").select("_row", "start", "end", "value", F.col("seed").alias("kind"))
+    # the same string is the same secret elsewhere
+    known = _discovered(seen).unionByName(seeds.where(F.col("kind") == KINDS.index("secret")).select("value", "kind")).groupBy("value").agg(F.max("kind").alias("kind"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = seen.where("seed IS NULL").withColumn("salt", F.pmod(F.xxhash64("_row", "start"), F.lit(SALTS)).cast("int")).join(known, ["value", "salt"]).select("_row", "start", "end", "value", "kind")
+    base = F.col("kind") < len(BASE)
+    every = seeds.withColumn("base", base).unionByName(hits.withColumn("base", F.lit(False))).repartition("_row")
+    back = Window.partitionBy("_row").orderBy("start", "kind", "end")
+    new = F.coalesce(F.max("end").over(back.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    island = every.withColumn("new", new).withColumn("island", F.sum(F.col("new").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
+    span = F.struct("start", F.col("kind").alias("k"), "end", name.alias("kind"), "value", "base")
+    groups = island.groupBy("_row", "island").agg(F.collect_list(span).alias("spans"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(name, F.struct("start", "kind", "end")).alias("kind"))
+    whole = groups.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).cast(_MASK).alias("masks"))
+    plain = lambda c: F.transform(c, lambda s: F.struct(*(s[n].alias(n) for n in ("start", "k", "end", "kind", "value")))).cast(_SPAN)
+    return whole.select("_row", plain(F.filter("all", lambda s: s["base"])).alias("base"), plain(F.col("all")).alias("spans"), "masks")
 
 
 def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """documents -> (doc_id, base, spans, *keep), a row for each input row.
+    """documents -> (doc_id, base, spans, masks, *keep), a row for each input row.
 
     base and spans are arrays of (start, k, end, kind, value): code points, end exclusive, by start and
-    kind. spans adds what bootstrapping finds outside base spans. A null text is empty and has none.
-    Repeated rows are found alike, each for itself. keep names input columns to carry along (text is
-    then the whole text, null as empty); other columns are ignored.
+    kind. spans adds to base what bootstrapping finds outside base spans, and secrets; masks are the
+    spans with overlapping ones united under the first one's kind. A null text is empty and has none.
+    Repeated rows are found alike, each for itself; doc_id may be null. keep names input columns to carry
+    along (text is then the whole text, null as empty); other columns are ignored. No rows give no rows.
+    A value is one instance however often it occurs: it is accepted or not by all its contexts, of
+    which those that differ count once. Frequent words and values are dealt into SALTS parts.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     carried = [(text if c == "text" else F.col(c)).alias(c) for c in keep]
-    some = F.col("_text").rlike(f"[0-9@]|{_AT}")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), F.struct(F.lit(0).alias("_"), *carried).alias("_kept"))
-    rows = rows.select("_row", "_doc", "_kept", "_text", F.when(some, base_spans(F.col("_text"))).otherwise(F.array().cast(_SPAN)).alias("base"))
-    rows = rows.select("_row", "_doc", "_kept", "base", F.when(some, _instances(F.col("_text"), F.col("base"))).alias("cands"))
-    rows = cut(rows, "spans")
-    more = _discovered(rows)
-    joined = rows.join(more, "_row", "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("found", F.array().cast(_SPAN))))
-    return joined.select(F.col("_doc").alias("doc_id"), "base", spans.alias("spans"), *(F.col(f"_kept.{c}").alias(c) for c in keep if c != "doc_id"))
-
-
-def _discovered(rows: DataFrame) -> DataFrame:
-    """(_row, found): spans of instances that the contexts of known ones vouch for."""
-    seen = rows.select("_row", F.explode("cands").alias("c")).select("_row", "c.*")
-    names = F.array(F.concat(F.lit("L:"), "before"), F.concat(F.lit("R:"), "after"), F.concat(F.lit("S:"), _shape(F.col("value"))))
-    edges = cut(seen.select("value", "seed", F.explode(names).alias("pattern")).where("length(pattern) > 2").groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "graph")
-    seeds = cut(seen.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind")).select("value", "kind", F.lit(1.0).alias("score")), "seeds")
-    pairs = edges.select("value", "pattern")
-    open_pairs = pairs.join(seeds.select("value"), "value", "left_anti")
-    support = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
-    known = seeds
-    for _ in range(ROUNDS):
-        mass = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("k"))
-        every = mass.groupBy("pattern").agg(F.sum("k").alias("all"))
-        against = F.col("all") - F.col("k") + UNKNOWN * (F.col("n") - F.col("all")) + SMOOTHING
-        trust = mass.where(F.col("k") >= LEAST_SEEDS).join(every, "pattern").join(support, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("k") + against)).alias("trust"))
-        of = lambda p: F.coalesce(F.max(F.when(F.substring("pattern", 1, 1) == p, F.col("trust"))), F.lit(0.0))
-        context = 1 - (1 - F.col("L")) * (1 - F.col("R"))
-        parts = open_pairs.join(trust, "pattern").groupBy("value", "kind").agg(of("L").alias("L"), of("R").alias("R"), of("S").alias("S")).withColumn("C", context)
-        new = parts.select("value", "kind", (F.col("C") + (1 - F.col("C")) * F.col("C") * F.col("S")).alias("score")).where(F.col("score") >= TRUST * TRUST)
-        best = cut(new.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "scores")
-        known = best.unionByName(seeds)
-    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    # what some base span is elsewhere, too: the same string is the same identifier
-    hits = seen.where("seed IS NULL").join(best.unionByName(seeds), "value")
-    span = F.struct(F.col("start"), number.alias("k"), F.col("end"), F.col("kind"), F.col("value"))
-    return hits.groupBy("_row").agg(F.collect_list(span).cast(_SPAN).alias("found"))
-
-
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans are one, of the first kind."""
-
-    def put(a: Column, s: Column) -> Column:
-        clear = s["start"] >= a["at"]
-        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(clear, F.concat(a["out"], gap, mark)).otherwise(a["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, begin, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    rows = cut(rows.select("_row", "_doc", "_kept", _found(F.col("_text")).alias("found")), "matches")
+    spans = _spans(cut(_instances(rows.where(F.size("found") > 0)), "instances"))
+    joined = rows.select("_row", "_doc", "_kept").join(spans, "_row", "left")
+    out = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("base", _SPAN), ("spans", _SPAN), ("masks", _MASK))]
+    return joined.select(F.col("_doc").alias("doc_id"), *out, *(F.col(f"_kept.{c}").alias(c) for c in keep if c != "doc_id"))
+
+
+def redact(text: Column, masks: Column) -> Column:
+    """The text with each mask replaced by its kind in brackets. Pieces are taken from blocks, not from the text's begin."""
+    size = 512
+
+    def put(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / size).cast("int")
+            around = F.slice(blocks, first + 1, F.floor(b / size).cast("int") - first + 1)
+            return F.substring(F.array_join(around, ""), a - first * size + 1, b - a)
+
+        end = lambda i: F.when(i > 0, F.get(masks, i - 1)["end"]).otherwise(0)
+        marked = F.transform(masks, lambda s, i: F.concat(between(end(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(marked, ""), between(F.element_at(masks, -1)["end"], F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    return F.when(F.size(masks) > 0, _bound(blocks, put)).otherwise(text)
 
 
 def joined(spans: Column) -> Column:
@@ -189,4 +251,4 @@ def joined(spans: Column) -> Column:
 def op9_pii_bootstrapped(spark, sf_dir: str) -> DataFrame:
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
