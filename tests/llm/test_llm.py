@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import html as htmllib
 import json
 import math
 import random
@@ -143,11 +144,28 @@ def test_topk_edges(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, []), (5, [1.0, 2.0]), (None, [9.0, 9.0])]
     rows += [(100 + i, [1.0, 2.0]) for i in range(9)]
     got = topk.top_products(table(spark, rows, "vec_id long, embedding array<double>"), block=4, chunk=1).collect()
-    vec = {i: [math.floor(256 * x) for x in v] for i, v in rows if i not in (None, 1, 2, 3)}
+    vec = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i not in (None, 1, 2, 3)]
     want = []
-    for q in (i for i in vec if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for n, (q, a) in enumerate(vec):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, v)), i) for m, (i, v) in enumerate(vec) if m != n)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [100_000, 3])
+def test_topk_many_blocks(spark, chunk):
+    """Repeated rows, two queries of one vec_id, and equal vectors, over rounds of blocks."""
+    rng = random.Random(7)
+    rows = [(rng.randrange(300), [rng.gauss(0, 1 + i % 3) for _ in range(20)]) for i in range(400)]
+    rows += rows[:30] + [(k, [0.5] * 20) for k in range(1000, 1060)]
+    got = topk.top_products(table(spark, rows, "vec_id long, embedding array<double>").repartition(3), block=25, chunk=chunk).collect()
+    vec = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for n, (q, a) in enumerate(vec):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, v)), i) for m, (i, v) in enumerate(vec) if m != n)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -263,13 +281,94 @@ def test_html_keeps_all_of_an_article():
     lead, body = "Lead words. " * 5, "Body words. " * 20
     page = f"<body><nav><a href=x>Menu</a></nav><article><div class=lead><h1>Title</h1><p>{lead}</p></div><div class=body><p>{body}</p></div></article><div class=sidebar><a>More</a></div></body>"
     assert html.extract(page, None) == f"Title\n{lead.strip()}\n{body.strip()}"
-    assert html.extract(page, [html.vote(html.blocks(page))[0]]) == html.extract(page, None)
+    own = html.Page(page)
+    assert html.extract(page, [own.path[own.root]]) == html.extract(page, None)
     for name in ("main has-sidebar", "post comments-open", "elementor-widget", "entry-header", "comments"):
         assert html.extract(f"<body><div class='{name}'><p>{body}</p></div><div class=menu><a>Home</a></div></body>", None) == body.strip()
     two = f"<body><div class='entry-header'><h1>Title</h1></div><div><p>{body}</p></div></body>"
     assert html.extract(two, None) == f"Title\n{body.strip()}"
 
 
+def test_html_hostile():
+    """Unclosed tags and quotes leak no markup; time grows as the length."""
+    assert html.extract('<article><p class="x>One</p><p>Two <a href="y">z</a> 1 < 2 </p></article>') == "One\nTwo z 1 < 2"
+    assert html.extract("<article><p>E <math><mi>x</mi></math> <svg><text>s</text></svg> <object>o</object></p>") == "E x s o"
+    for bad in ('<a "', '<a b="', "<div>x", "<div>", "<!--", "<script>", "<p><a>", "<div><b></nav>", "<", '<div a="b>x', "&amp"):
+        began = time.perf_counter()
+        html.extract(bad * 10_000)
+        assert time.perf_counter() - began < 1, bad
+
+
+BODY = "Plain words, and more of them. " * 12
+
+
+@pytest.mark.parametrize("name", ["main has-sidebar", "no-sidebar", "main-menu-open", "share-enabled", "theme-banner", "post comments-open", "widget-area"])
+def test_html_names_delete_no_article(name):
+    page = f"<body><div class='{name}'><h1>T</h1><p>{BODY}</p></div><div class=menu><a href=x>Home</a></div><div class=comments><p>{BODY * 5}</p></div></body>"
+    assert html.extract(page) == f"T\n{BODY.strip()}"
+
+
+def test_html_headline_outside_and_forms():
+    assert html.extract(f"<body><div class=top><h1>Head</h1></div><div>x</div><article><p>{BODY}</p></article>") == f"Head\n{BODY.strip()}"
+    page = f"<body><form id=whole><nav>n</nav><h1>H</h1><div><p>{BODY}</p><label>q</label><button>go</button></div></form><form><p>Your mail</p></form></body>"
+    assert html.extract(page) == f"H\n{BODY.strip()}"
+
+
+def site(rng, k):
+    """(html, main text) of a page of one of three hosts, each with two templates."""
+    say = lambda n: " ".join(" ".join(rng.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(rng.randrange(5, 12))) + "." for _ in range(n))
+    host, short = k % 3, rng.random() < 0.15
+    title, paras = f"Head {k}", [say(1 if short else rng.randrange(2, 6)) for _ in range(1 if short else 4)]
+    talk = say(20)
+    p = "".join(f"<p>{x}</p>" for x in paras)
+    if host == 0:  # no class tells anything; reader comments may be longer than the article
+        html_ = f"<body><div class=a1><a href=/>Home</a> <a href=/b>More</a></div><div class=b7><h2>{title}</h2>{p}</div><div class='c2 comments'><p>{talk}</p></div><div class=d4><p>All rights, as they say, are ours.</p></div>"
+        if k % 2:
+            html_ = html_.replace("<div class=b7>", "<div class=b7><div class=promo><p>Buy now, or never.</p></div>")
+        want = [title, *paras]
+    elif host == 1:
+        html_ = f"<body class=has-sidebar><header><h1>Site</h1></header><main><header><h1>{title}</h1></header><section id=s{k}>{p}</section><div class=q><p>Read our notice, please.</p></div></main><footer>f</footer>"
+        if k % 2:
+            html_ = html_.replace("<main>", "<div class=layout-sidebar><div class=post>").replace("</main>", "</div></div>").replace("<header><h1>Head", "<div class=entry-header><h1>Head").replace("</h1></header><section", "</h1></div><section")
+        want = [title, *paras]
+    else:
+        html_ = f"<body><article><h1>{title}</h1>{p}<ul><li><a href=x>Source {k}</a></li></ul></article><aside>{talk}</aside>"
+        if k % 2:
+            html_ = f"<body><table><tr><td><a href=x>A</a></td><td><h1>{title}</h1>{p}</td></tr></table><div class=related><p>{talk}</p></div>"
+        want = [title, *paras] + ([f"Source {k}"] if k % 2 == 0 else [])
+    return f"http://h{host}.example/{k}", html_, "\n".join(want)
+
+
+def test_html_consensus(spark):
+    """Pages of a host mend what one page alone gets wrong; nulls and repeated rows have their texts."""
+    rng = random.Random(12)
+    pages = [site(rng, k) for k in range(150)]
+    rows = [(k, u, h) for k, (u, h, _) in enumerate(pages)] + [(900, None, None), (901, "http://h1.example/x", None), (0, *pages[0][:2]), (None, "u", "<p>Text, with words.</p>")]
+    got = html.main_text(table(spark, rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    text = {r["page_id"]: r["text"] for r in got}
+    wrong = [k for k, (*_, want) in enumerate(pages) if text[k] != want]
+    alone = [k for k, (_, h, want) in enumerate(pages) if html.extract(h) != want]
+    assert wrong == [] and len(alone) > 10
+    assert text[900] == text[901] == "" and text[None] == "Text, with words."
+    assert sum(r["page_id"] == 0 and r["text"] == pages[0][2] for r in got) == 2
+
+
+def plain_article(page):
+    """The article of the test data's template, by regular expressions."""
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page or "", re.S)
+    parts = re.split(r"</?(?:p|h1)>", inner[1]) if inner else []
+    lines = [" ".join(htmllib.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {r["page_id"]: plain_article(r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.QUERIES["op6_consensus_paths"](spark, sf).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(2)
     big = base64.b64encode(rng.randbytes(1500)).decode()
@@ -313,7 +412,7 @@ def test_toxicity_held_out(spark):
     hit = sum(r["predicted"] == 1 == labels[r["doc_id"]] for r in got)
     precision, recall = hit / max(1, sum(r["predicted"] for r in got)), hit / max(1, sum(labels[r["doc_id"]] for r in got))
     print(json.dumps({"held out": len(got), "precision": precision, "recall": recall}))
-    assert precision >= 0.8 and recall >= 0.8
+    assert precision >= 0.9 and recall >= 0.9
 
 
 @pytest.mark.parametrize("share", [0.5, 0.85])

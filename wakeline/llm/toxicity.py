@@ -1,10 +1,12 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
-Terms get log-odds between toxic and clean training documents under an informative Dirichlet prior
-(the term's own overall frequency, in proportion to the label's size). Terms of either label count. A document is then a sequence of scores; one linear scan finds
-every maximal segment, an extreme-value law turns a segment's score into the number of such segments
-that clean text of that length gives by chance, and the significant ones add up to the document's
-evidence.
+Terms (words, and beginnings of words) get log-odds between toxic and clean training documents under an
+informative Dirichlet prior, the term's own overall frequency; they are shrunk by their standard error,
+so what little is known of a term says little. Terms of either label count. A document is then a sequence
+of scores; one linear scan finds every maximal segment, an extreme-value law turns a segment's score into
+the number of such segments that clean text of that length gives by chance, and the significant ones add
+up to the document's evidence. The law and the final curve are fitted on documents that the counts of terms
+have not seen.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from wakeline.llm.shared import cut, map_batches
 
 #: The model is fitted on at most so many labelled rows, chosen by a hash of doc_id.
 SAMPLE_ROWS = 40_000
-#: Weight of the prior, as a share of each label's counts; terms whose log-odds are within this many
-#: standard errors of 0 say nothing.
-PRIOR, LEAST_Z = 0.05, 3.0
-#: Terms the model holds at most: those with the largest z, of either sign.
-MAX_TERMS = 200_000
-PREFIX, THRESHOLD = 5, 0.3
+#: Pseudo-counts of the prior; the standard errors by which log-odds are shrunk towards 0.
+PRIOR, SHRINK = 2.0, 3.0
+#: Lengths of the beginnings of words that are terms, too.
+PREFIXES, THRESHOLD = (5, 6, 7, 8), 0.3
+#: One in so many training documents fits the law and the curve, and the others the terms.
+FOLDS = 5
 #: A segment counts as significant if clean text of this length has at most so many by chance.
 EXPECTED = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +40,11 @@ def terms(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _of(word: str) -> list[str]:
+    """The terms of a word: its beginnings, marked, and itself."""
+    return [*("^" + word[:n] for n in PREFIXES if len(word) > n), word]
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score), by the linear scan of Ruzzo and Tompa.
 
@@ -63,34 +70,32 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Model:
-    """Term scores, the score of any other token, the law's constant, and the final curve."""
+    """Term scores, the score of any other token, the law's two constants, and the final curve."""
 
     def __init__(self, weights: dict[str, float], other: float) -> None:
         self.weights, self.other = weights, other
-        self.log_k, self.curve = 0.0, (0.0, 1.0)
+        self.rate, self.log_k, self.curve = 1.0, 0.0, (0.0, 1.0)
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """A token's score is that of its strongest term."""
         get = self.weights.get
-        prefixes, other = PREFIX, self.other
-        out = []
-        for w in words:
-            s = get(w)
-            if s is None:
-                s = get("^" + w[:prefixes], other) if len(w) > prefixes else other
-            out.append(s)
-        return np.array(out, float)
+        known: dict[str, float] = {}
+        for w in set(words):
+            found = [x for t in _of(w) if (x := get(t)) is not None]
+            known[w] = max(found, key=abs) if found else self.other
+        return np.fromiter((known[w] for w in words), float, len(words))
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
         """Each maximal segment with its score and the log of its expected number in clean text."""
         base = self.log_k + math.log(max(1, len(words)))
-        return [(a, b, s, base - s) for a, b, s in segments(self.scores(words))]
+        return [(a, b, s, base - self.rate * s) for a, b, s in segments(self.scores(words))]
 
     def evidence(self, found: list[tuple[int, int, float, float]]) -> float:
-        """Bits of surprise of all significant passages; else that of the best one, which is less."""
+        """Nats of surprise of all significant passages; else that of the best one, which is less."""
         if not found:
             return -8.0
         significant = [-e for *_, e in found if e <= math.log(EXPECTED)]
-        return min(30.0, sum(significant)) if significant else max(-8.0, max(-e for *_, e in found))
+        return sum(significant) if significant else max(-8.0, max(-e for *_, e in found))
 
     def score(self, x: float) -> float:
         a, b = self.curve
@@ -98,28 +103,32 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of either label each term, or prefix of five, stands."""
+    """How often either label's documents have each term; the times in one document count by their logarithm."""
     for b in batches:
-        seen = Counter(), Counter()
+        seen: tuple[dict[str, float], dict[str, float]] = {}, {}
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            words = set(terms(text))
-            seen[y].update(words)
-            seen[y].update({"^" + w[:PREFIX] for w in words if len(w) > PREFIX})
+            own: Counter = Counter()
+            for w, n in Counter(terms(text)).items():
+                for t in _of(w):
+                    own[t] += n
+            for t, n in own.items():
+                seen[y][t] = seen[y].get(t, 0.0) + math.log2(1 + n)
         every = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([seen[1][t] for t in every], pa.int64()), pa.array([seen[0][t] for t in every], pa.int64())], ["term", "n1", "n0"])
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([seen[y].get(t, 0.0) for t in every], pa.float64()) for y in (1, 0))], ["term", "n1", "n0"])
 
 
 def _lexicon(train: DataFrame) -> dict[str, float]:
-    counts = cut(map_batches(train, _counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 > 1"), "terms")
-    sums = counts.agg(F.sum("n1"), F.sum("n0")).first()
+    """Shrunk log-odds of the terms whose log-odds are more than SHRINK standard errors from 0."""
+    counts = cut(map_batches(train, _counts, "term string, n1 double, n0 double").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
+    sums = counts.where(~F.col("term").startswith("^")).agg(F.sum("n1"), F.sum("n0")).first()
     t1, t0 = float(sums[0] or 0), float(sums[1] or 0)
-    # a label's prior is in proportion to its size, so the mix of labels doesn't bound the log-odds
-    prior = lambda t: PRIOR * (F.col("n1") + F.col("n0")) * F.lit(t / max(1.0, t1 + t0))
-    odds = lambda n, t: F.log((F.col(n) + prior(t)) / (F.lit((1 + PRIOR) * t) - F.col(n) - prior(t)))
-    delta = odds("n1", t1) - odds("n0", t0)
-    z = delta / F.sqrt(1 / (F.col("n1") + prior(t1)) + 1 / (F.col("n0") + prior(t0)))
-    best = counts.select("term", delta.alias("delta"), F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return {r["term"]: r["delta"] for r in best.select("term", "delta").collect()} if t1 and t0 else {}
+    if not t1 or not t0:
+        return {}
+    # a label's share of the prior is in proportion to its size, so the mix of labels doesn't bound the log-odds
+    m1, m0 = (F.col(n) + PRIOR * t / (t1 + t0) for n, t in (("n1", t1), ("n0", t0)))
+    odds, error = F.log(m1 / t1) - F.log(m0 / t0), F.sqrt(1 / m1 + 1 / m0)
+    best = counts.select("term", (F.signum(odds) * F.greatest(F.abs(odds) - SHRINK * error, F.lit(0.0))).alias("score")).where("score <> 0")
+    return {r["term"]: r["score"] for r in best.toLocalIterator()}
 
 
 def _rates(model: Model):
@@ -138,18 +147,19 @@ def _rates(model: Model):
 
 
 def _measure(model: Model):
-    """For training documents: tokens, segments, and the evidence."""
+    """For training documents: tokens, number and score of their segments, and the evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, hits, x = [], [], []
+            n, k, total, x = [], [], [], []
             for text in b.column("text").to_pylist():
                 words = terms(text)
                 found = model.passages(words)
                 n.append(len(words))
-                hits.append(sum(math.exp(min(20.0, s)) for *_, s, _ in found) if found else 0.0)
+                k.append(len(found))
+                total.append(sum(s for *_, s, _ in found))
                 x.append(model.evidence(found))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(n), pa.array(hits), pa.array(x)], ["toxic", "n", "hits", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(total, pa.float64()), pa.array(x, pa.float64())], ["toxic", "n", "k", "total", "x"])
 
     return run
 
@@ -180,15 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     seen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     sample = own.where(seen).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    train = cut(train, "train")
-    model = Model(_lexicon(train), 0.0)
-    rate = {r["toxic"]: (r["n"], r["k"]) for r in map_batches(train, _rates(model), "toxic long, n long, k long").groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    train = cut(train.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) == 0).alias("late")), "train")
+    model = Model(_lexicon(train.where("NOT late").select("text", "toxic")), 0.0)
+    late = train.where("late").select("text", "toxic")
+    rate = {r["toxic"]: (r["n"], r["k"]) for r in map_batches(late, _rates(model), "toxic long, n long, k long").groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
     q1, q0 = ((rate.get(y, (0, 0))[1] + 0.5) / (rate.get(y, (0, 0))[0] + 1000.0) for y in (1, 0))
     model.other = min(math.log((1 - min(0.9, q1)) / (1 - min(0.9, q0))), -1e-4)
-    first = map_batches(train, _measure(model), "toxic int, n long, hits double, x double").where("toxic = 0").agg(F.sum("n"), F.sum(F.least(F.col("hits"), F.lit(1e6)))).first()
-    model.log_k = math.log(((first[1] or 0.0) + 1.0) / ((first[0] or 0) + 1000.0))
-    bins = map_batches(train, _measure(model), "toxic int, n long, hits double, x double").groupBy(F.round("x", 1).alias("x")).agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).collect()
+    kind = "toxic int, n long, k long, total double, x double"
+    # segments of clean text have exponential tails: their mean score gives the rate, their number the constant
+    n, k, total = (float(x or 0) for x in map_batches(late, _measure(model), kind).where("toxic = 0").agg(F.sum("n"), F.sum("k"), F.sum("total")).first())
+    model.rate, model.log_k = (k + 1) / (total + 1), math.log((k + 0.5) / (n + 1000))
+    bins = map_batches(late, _measure(model), kind).groupBy(F.round("x", 1).alias("x")).agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).collect()
     model.curve = _fit_curve(sorted((r["x"], r["n0"], r["n1"]) for r in bins))
     return model
 
