@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,15 @@ GROUP = 8192
 #: Contexts of one suffix array, parts into which the begins of strings are cut to find hopeful contexts,
 #: and texts of which a task remembers how often it has met them.
 BATCH, PARTS, TEXTS = 3000, 36, 200_000
+#: Contexts of which a task remembers whether it has handed them on twice.
+ASKED = 1_000_000
 #: Contexts of a larger group that all its others are compared with before it is split.
 SOME = 64
 _BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """The suffix array of whole numbers >= 0, in linear time.
+    """The suffix array of whole numbers >= 0, in linear time once the distinct numbers are in order.
 
     First every suffix is put into the group of its longest Lyndon prefix. Groups are visited in
     descending order; the previous smaller suffix of each member gets the group's prefix appended, as
@@ -75,27 +78,28 @@ def suffix_array(text: list[int]) -> list[int]:
             previous[i] = p
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
-        moved: dict[int, list[tuple[int, int]]] = {}
+        # dealt by count, then by group: counting, as the counts add up to the members
+        by_count: list[list[int]] = [[] for _ in range(max(times.values(), default=0) + 1)]
         for p, k in times.items():
-            moved.setdefault(group[p], []).append((k, p))
-        for h, list_ in moved.items():
-            list_.sort()
-            whole = size[h]
-            a = h + whole - len(list_)
-            size[h] = whole - len(list_)
+            by_count[k].append(p)
+        moved: dict[int, list[list[int]]] = {}
+        for own in by_count:
+            new: dict[int, list[int]] = {}
+            for p in own:
+                new.setdefault(group[p], []).append(p)
+            for h, list_ in new.items():
+                moved.setdefault(h, []).append(list_)
+        for h, lists in moved.items():
+            a = h + size[h] - sum(map(len, lists))
+            size[h] = a - h
             if a > h:
                 begin_of[a] = h
-            j = 0
-            while j < len(list_):
-                k, new = list_[j][0], []
-                while j < len(list_) and list_[j][0] == k:
-                    new.append(list_[j][1])
-                    j += 1
-                for p in new:
+            for new_group in lists:
+                for p in new_group:
                     group[p] = a
-                members[a], size[a] = new, len(new)
-                begin_of[a + len(new)] = a
-                a += len(new)
+                members[a], size[a] = new_group, len(new_group)
+                begin_of[a + len(new_group)] = a
+                a += len(new_group)
     out, free, placed = [0] * n, {}, bytearray(n)
     i = n - 1
     for k in range(-1, n):
@@ -150,15 +154,19 @@ def context(raw: bytes, p: int) -> tuple[bytes, bytes]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, around, n, text): each text's distinct anchors with the hash of their context.
+    """(gram, around, n, text, sure): each text's distinct anchors with the hash of their context.
 
-    A third copy of a text adds nothing, so a task hands on two at most.
+    A third copy of a text adds nothing, so a task hands on two at most. An anchor whose context the task has
+    handed on twice is surely repeated; it need not ask, so a passage that many texts share is no hot gram.
     """
     copies: dict[bytes, int] = {}
+    asked: dict[int, int] = {}
     for b in batches:
         if len(copies) > TEXTS:
             copies.clear()
-        grams, around, texts, n = [], [], [], []
+        if len(asked) > ASKED:
+            asked.clear()
+        grams, around, texts, n, sure = [], [], [], [], []
         for text in b.column("text").to_pylist():
             raw = (text or "").encode("utf-8", "surrogatepass")
             own = hashlib.md5(raw).digest()
@@ -168,12 +176,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             ctx = np.array([hash_of(raw, p) for p in at.tolist()], np.uint64)
             pairs, counts = np.unique(np.stack([h, ctx], 1), axis=0, return_counts=True)
+            # the context's own hash tells contexts apart, the gram's is added for other grams around it
+            keys = (pairs[:, 0] * _MIX ^ pairs[:, 1]).tolist()
+            before = [asked.get(k, 0) for k in keys]
+            asked.update(zip(keys, (x + 1 for x in before), strict=True))
             grams.append(pairs[:, 0])
             around.append(pairs[:, 1])
             n.append(counts)
+            sure.append(np.array(before) > 1)
             texts += [own] * len(pairs)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(grams, np.uint64).view(np.int64)), pa.array(cat(around, np.uint64).view(np.int64)), pa.array(np.minimum(cat(n, np.int64), 2).astype(np.int32)), pa.array(texts, pa.binary())], ["gram", "around", "n", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(cat(grams, np.uint64).view(np.int64)), pa.array(cat(around, np.uint64).view(np.int64)), pa.array(np.minimum(cat(n, np.int64), 2).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(cat(sure, bool))], ["gram", "around", "n", "text", "sure"])
 
 
 def hash_of(raw: bytes, p: int) -> int:
@@ -185,7 +198,7 @@ _CLASS = "text binary, gram long, around long, solid boolean, ship boolean"
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram and context -> those that may be repeated.
+    """Rows sorted by gram and context -> those that may be repeated; those that surely are pass as they come.
 
     solid: the context occurs at least twice, so all of it is repeated. ship: the first row of a context
     whose gram has other contexts as well; one of equal contexts is enough to compare with.
@@ -207,6 +220,12 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.filter(pa.array(keep)).combine_chunks().to_batches()
 
     for b in batches:
+        told = b.filter(b.column("sure"))
+        if len(told):
+            flag = lambda x: pa.array(np.full(len(told), x))
+            yield pa.RecordBatch.from_arrays([*(told.column(c) for c in ("text", "gram", "around")), flag(True), flag(False)], ["text", "gram", "around", "solid", "ship"])
+            b = b.filter(pc.invert(b.column("sure")))
+        b = b.drop_columns(["sure"])
         if not len(b):
             continue
         t = pa.Table.from_batches([b]).append_column("told", pa.array(np.zeros(len(b), bool)))
@@ -247,7 +266,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], tuple[bool, bool]] = {}
         for k in r["known"]:  # equal texts have a row each; one of them ships
             key = k["gram"], k["around"]
-            known[key] = k["solid"], k["ship"] or known.get(key, (False, False))[1]
+            before_ = known.get(key, (False, False))
+            known[key] = k["solid"] or before_[0], k["ship"] or before_[1]
         at, h = anchors(raw)
         some = np.isin(h.view(np.int64), np.array([g for g, _ in known], np.int64))
         shipped = set()
@@ -590,9 +610,11 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     share, until it fits or one string is left, which all share.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    places = map_batches(rows.select("text"), _occurrences, "gram long, around long, n int, text binary")
-    known = map_batches(places.repartition("gram").sortWithinPartitions("gram", "around"), _classify, _CLASS)
-    known = known.groupBy(F.col("text").alias("id")).agg(F.collect_list(F.struct("gram", "around", "solid", "ship")).alias("known"))
+    places = map_batches(rows.select("text"), _occurrences, "gram long, around long, n int, text binary, sure boolean")
+    dealt = places.repartition(F.when(F.col("sure"), F.xxhash64("text")).otherwise(F.col("gram")))
+    known = map_batches(dealt.sortWithinPartitions("gram", "around"), _classify, _CLASS)
+    # tasks that met copies of one text say the same of it, so a set holds each of its anchors but once or twice
+    known = known.groupBy(F.col("text").alias("id")).agg(F.collect_set(F.struct("gram", "around", "solid", "ship")).alias("known"))
     known = cut(known, "anchors")
     tagged = rows.withColumn("id", F.unhex(F.md5(F.col("text").cast("binary"))))
     some = tagged.join(known, "id")
