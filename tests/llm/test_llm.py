@@ -182,6 +182,37 @@ def test_decontamination(spark, shard):
     assert texts[3][s["start"] : s["end"]] == item
 
 
+@pytest.mark.parametrize("shard", [1 << 24, 3000])
+def test_decontamination_whole_table(spark, shard):
+    """By definition: every window tried at every word; a nameless item hits but isn't listed."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bench = spark.createDataFrame([*rows, (None, " ".join(f"q{i}" for i in range(15))), (None, None)], "item_id string, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**6, "x " + " ".join(f"Q{i}" for i in range(15))), (None, None)], docs.schema))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    known = collections.defaultdict(set)
+    for item, text in bench.collect():
+        w = words(text)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            known[tuple(w[i : i + 13])].add(item)
+    sizes = {len(k) for k in known}
+    got = {r["doc_id"]: r for r in decontamination.contamination(docs, bench, shard_bytes=shard).collect()}
+    for doc, text in docs.collect():
+        w, hit, items = words(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (found := known.get(tuple(w[i : i + n]))) is not None:
+                    hit.update(range(i, i + n))
+                    items |= found - {None}
+        r = got[doc]
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(items)), doc
+        assert r["contaminated"] == (bool(hit) and 20 * len(hit) >= len(w))
+        assert sum(len(words(text[s["start"] : s["end"]])) for s in r["spans"]) == len(hit)
+        assert len(r["spans"]) == sum(i - 1 not in hit for i in hit)
+    assert got[10**6]["n_hit"] == 15 and got[10**6]["items"] == []
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.shared import cut, map_batches
@@ -28,13 +28,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
+def windows(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
     """Each window of words with the items it stands in. A shorter item is one window; no words, none."""
     out: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - size + 1) if w else 0):
-            out.setdefault(tuple(w[i : i + size]), set()).add(item)
+            out.setdefault(tuple(w[i : i + size]), set()).update([item] if item is not None else [])
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -71,45 +71,47 @@ class Automaton:
 _built: dict[str, Automaton] = {}
 
 
-def _spans(text: str, hit: np.ndarray) -> list[dict]:
-    """Runs of hit words as offsets in the original text."""
-    at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in edge.reshape(-1, 2).tolist()]
+_SCHEMA = "row long, doc_id long, n_words long, runs array<struct<a:int,b:int,start:int,end:int>>, items array<string>"
+_RUN = pa.struct([(n, pa.int32()) for n in ("a", "b", "start", "end")])
+_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(_RUN)), ("items", pa.list_(pa.string()))])
 
 
-_SCHEMA = "row long, doc_id long, n_words long, hits array<int>, items array<string>, spans array<struct<start:int,end:int>>"
-_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def _runs(text: str, hit: np.ndarray) -> list[dict]:
+    """Runs of hit words, by words and by offsets in the original text."""
+    at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+    return [{"a": a, "b": b, "start": at[a][0], "end": at[b - 1][1]} for a, b in edge.reshape(-1, 2).tolist()]
 
 
-def _scan(found: dict[tuple[bytes, ...], list[str]]):
-    name = hashlib.sha1(repr(sorted(found.items())).encode()).hexdigest()
+def _scan(items: list[tuple[str | None, str]], size: int):
+    """Rows -> hits of these items' windows. A worker builds their automaton once and keeps one."""
+    name = hashlib.sha1(repr((size, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _built:
             _built.clear()
-            _built[name] = Automaton(found)
+            _built[name] = Automaton(windows(items, size))
         automaton = _built[name]
         for b in batches:
             out = []
             for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                hit, items = automaton.scan(words)
-                some = bool(items)
-                out.append({"row": row, "doc_id": doc, "n_words": len(words), "hits": np.flatnonzero(hit).tolist() if some else [], "items": sorted(items), "spans": _spans(text, hit) if some else []})
+                hit, found = automaton.scan(words)
+                out.append({"row": row, "doc_id": doc, "n_words": len(words), "runs": _runs(text, hit) if hit.any() else [], "items": sorted(found)})
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
     return run
 
 
-def _shards(benchmark: DataFrame, size: int, shard_bytes: int) -> Iterator[dict]:
-    """Windows of the benchmark, in shards of bounded text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The benchmark's distinct items, a shard of bounded text at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = cut(items, "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield windows([(r["item_id"], r["text"]) for r in part.toLocalIterator()], size)
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield sorted(((r["item_id"], r["text"]) for r in part.toLocalIterator()), key=str)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -117,28 +119,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
     items are the item_ids (as strings, sorted) with an occurring window; spans are the runs of hit
     words as code-point offsets in the original text. A document is contaminated if a twentieth of
-    its words or more is hit. Null and empty texts have no words and aren't contaminated. Null items
-    and items without words have no windows; repeated items count once. Other columns are ignored.
-    The automaton goes to the tasks; its text is at most shard_bytes, a larger benchmark is scanned in
-    shards and the hits are joined by row.
+    its words or more is hit. Null and empty texts have no words and aren't contaminated. Items with a null
+    text or without words have no windows; those with a null item_id hit words but aren't listed; repeated
+    items count once. Other columns are ignored; no rows give no rows. Texts of at most shard_bytes (and one
+    item more) go to the tasks, which build the automaton; a larger benchmark is scanned in shards, one after
+    the other, whose hits are written and joined by row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = list(_shards(benchmark, size, shard_bytes))
-    if len(shards) == 1:
-        found = map_batches(rows.select(F.lit(None).cast("long").alias("row"), "doc_id", "text"), _scan(shards[0]), _SCHEMA)
-        return _judged(found)
+    shards = _shards(benchmark, shard_bytes)
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        return _judged(map_batches(rows.select(F.lit(None).cast("long").alias("row"), "doc_id", "text"), _scan(first, size), _SCHEMA))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows").select("row", "doc_id", "text")
-    every = [map_batches(rows, _scan(s), _SCHEMA) for s in shards]
-    found = every[0]
-    for more in every[1:]:
-        found = found.unionByName(more)
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return _judged(found.groupBy("row", "doc_id", "n_words").agg(flat("hits"), flat("items"), flat("spans")))
+    found = cut(map_batches(rows, _scan(first, size), _SCHEMA), "hits")
+    while second is not None:
+        found = found.unionByName(cut(map_batches(rows, _scan(second, size), _SCHEMA).where(F.size("runs") > 0), "hits"))
+        second = next(shards, None)
+    flat = lambda c: F.flatten(F.collect_list(c))
+    every = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(flat("runs")).alias("runs"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    return _judged(every.withColumn("runs", _united(F.col("runs"))))
+
+
+def _united(runs: Column) -> Column:
+    """Sorted runs with those that overlap or touch made one."""
+
+    def put(out: Column, r: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        more = F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"), last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (r["a"] <= last["b"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(out, F.array(r)))
+
+    return F.aggregate(runs, F.filter(runs, lambda _: F.lit(False)), put)
 
 
 def _judged(found: DataFrame) -> DataFrame:
-    n = F.size("hits").cast("long")
-    return found.select("doc_id", "n_words", n.alias("n_hit"), "items", "spans", ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"))
+    n = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + (r["b"] - r["a"]))
+    spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans")
+    out = found.select("doc_id", "n_words", n.alias("n_hit"), "items", spans)
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
