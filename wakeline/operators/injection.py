@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalar import sample_key
@@ -36,3 +36,8 @@ def recall(kept: DataFrame, truth: DataFrame) -> DataFrame:
     cover = (F.col("mmsi") == F.col("vessel")) & (F.col("t_start") <= F.col("anchor")) & (F.col("t_end") >= F.col("until"))
     hit = truth.join(flagged, cover, "left").groupBy("mmsi").agg(F.max(F.col("vessel").isNotNull()).alias("hit"))
     return hit.agg(F.count("*").alias("n_truth"), F.count_if("hit").alias("n_hit"))
+
+
+def ratio() -> Column:
+    """hits of truth; NaN where there is no truth."""
+    return F.when(F.col("n_truth") == 0, F.lit(float("nan"))).otherwise(F.col("n_hit") / F.col("n_truth"))

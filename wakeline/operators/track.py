@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import haversine_km, speed_kn
+from wakeline.functions.geo import EARTH_KM, haversine_km, speed_kn
 
 # fixed values: sentinels, gap and jump limits
 NO_SOG, NO_COG, NO_HEADING = 102.3, 360.0, 511.0
@@ -80,8 +82,11 @@ def entries(df: DataFrame) -> DataFrame:
 
 
 def next_arrival(df: DataFrame) -> DataFrame:
-    """Forward as-of join by a window: the earliest entry at or after each ping."""
-    ahead = Window.partitionBy("mmsi").orderBy("sec").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    """Forward as-of join by a window: the earliest entry at or after each ping.
+
+    From the last ping to the first, so that the frame grows by a row at a time; pings of one time are peers.
+    """
+    ahead = Window.partitionBy("mmsi").orderBy(F.desc("sec")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("arrival", F.min(F.when(F.col("entry"), F.col("sec"))).over(ahead))
 
 
@@ -99,3 +104,12 @@ def sequences(df: DataFrame, features: list[str], k: int = 16) -> DataFrame:
     """The last k pings as an array, for pings that have k and a label."""
     w = by_vessel().rowsBetween(-(k - 1), 0)
     return df.withColumn("steps", F.collect_list(F.struct(*features)).over(w)).where((F.size("steps") == k) & F.col("has_eta"))
+
+
+def longest_leg(rows: pd.DataFrame) -> pd.DataFrame:
+    """(mmsi, longest_km, n) of one vessel's pings."""
+    t = rows.sort_values(["sec", "event_id"])
+    lat, lon = np.radians(t["lat"].to_numpy()), np.radians(t["lon"].to_numpy())
+    h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lon) / 2) ** 2
+    legs = 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+    return pd.DataFrame({"mmsi": [t["mmsi"].iloc[0]], "longest_km": [float(legs.max()) if len(legs) else 0.0], "n": [len(t)]})

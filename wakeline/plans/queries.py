@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo, scalar
-from wakeline.operators import injection, proximity, track
+from wakeline.operators import injection, proximity, ranked, track
 from wakeline.plans import lens, sql
 from wakeline.sources import files
 from wakeline.streaming import live
@@ -113,12 +113,16 @@ def jump_filter(s, d):
 @query("SELECT (SELECT count(*) FROM lens) AS n_bronze, (SELECT count(*) FROM clip) AS n_clip, (SELECT count(*) FROM dedup) AS n_dedup, (SELECT count(*) FROM silver) AS n_silver", sql.SILVER)
 def stage_counts(s, d):
     """One pass: each row carries how far it got."""
-    p = lens.pings(s, d)
-    near = track.clip(p, *lens.BOX)
-    seg = track.segments(track.deduplicated(near))
-    kept = F.col("implied_kn").isNull() | (F.col("implied_kn") <= track.JUMP_KN)
-    own = p.agg(F.count("*").alias("n_bronze"), F.count_if(F.col("lon").between(lens.BOX[0], lens.BOX[2]) & F.col("lat").between(lens.BOX[1], lens.BOX[3])).alias("n_clip"))
-    return own.crossJoin(seg.agg(F.count("*").alias("n_dedup"), F.count_if(kept).alias("n_silver")))
+    x1, y1, x2, y2 = lens.BOX
+    near = F.coalesce(F.col("lon").between(x1, x2) & F.col("lat").between(y1, y2) & F.col("mmsi").isNotNull() & F.col("sec").isNotNull(), F.lit(False))
+    p = lens.pings(s, d).repartition("mmsi").withColumn("near", near)
+    first = F.row_number().over(Window.partitionBy("mmsi", "near", "sec").orderBy("lat", "lon", "event_id")) == 1
+    p = p.withColumn("single", F.col("near") & first)
+    w = Window.partitionBy("mmsi", "single").orderBy("sec", "event_id")
+    km = geo.haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    p = p.withColumn("kn", geo.speed_kn(F.coalesce(km, F.lit(0.0)), F.col("sec") - F.lag("sec").over(w)))
+    kept = F.col("single") & (F.col("kn").isNull() | (F.col("kn") <= track.JUMP_KN))
+    return p.agg(F.count("*").alias("n_bronze"), F.count_if("near").alias("n_clip"), F.count_if("single").alias("n_dedup"), F.count_if(kept).alias("n_silver"))
 
 
 @query("SELECT count(DISTINCT mmsi) AS n_vessels FROM silver", sql.SILVER)
@@ -247,7 +251,13 @@ def gold(s, d):
 
 @query("SELECT round(quantile_cont(eta_min, 0.25), 4) AS p25, round(quantile_cont(eta_min, 0.5), 4) AS p50, round(quantile_cont(eta_min, 0.75), 4) AS p75, round(quantile_cont(eta_min, 0.9), 4) AS p90 FROM eta WHERE arrival IS NOT NULL", sql.ETA)
 def eta_quantiles(s, d):
-    return _eta(s, d).where("arrival IS NOT NULL").agg(*(R4(F.percentile("eta_min", F.lit(p / 100))).alias(f"p{p}") for p in (25, 50, 75, 90)))
+    rows = ranked.quantiles(_eta(s, d).where("arrival IS NOT NULL"), "eta_min", [0.25, 0.5, 0.75, 0.9])
+    return _by_share(rows, (25, 50, 75, 90))
+
+
+def _by_share(rows: DataFrame, percents: tuple[int, ...]) -> DataFrame:
+    """(share, value) as one row of columns."""
+    return rows.agg(*(R4(F.max(F.when(F.round(F.col("share") * 100) == p, F.col("value")))).alias(f"p{p}") for p in percents))
 
 
 @query("SELECT least(47, floor(eta_min / 15))::INTEGER AS bin, count(*) AS n FROM eta WHERE has_eta GROUP BY 1", sql.ETA)
@@ -276,7 +286,7 @@ def hex_elevation(s, d):
 
 @query("SELECT round(quantile_cont(value, 0.05), 4) AS p5, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM lens")
 def color_bounds(s, d):
-    return lens.pings(s, d).agg(*(R4(F.percentile("value", F.lit(p / 100))).alias(f"p{p}") for p in (5, 95, 99)))
+    return _by_share(ranked.quantiles(lens.pings(s, d), "value", [0.05, 0.95, 0.99]), (5, 95, 99))
 
 
 @query("SELECT event_id, floor(greatest(0, least(1, (coalesce(sog, 0) - 0) / 30::DOUBLE)) * 255)::INTEGER AS shade FROM nulled", sql.NULLED)
@@ -294,10 +304,8 @@ def port_cells(s, d):
 
 @query(f"SELECT cell, n FROM (SELECT *, sum(n) OVER (ORDER BY n DESC, cell) - n AS before, sum(n) OVER () AS total FROM {PORT_CELLS}) WHERE before < 0.9::DOUBLE * total", sql.INSIDE)
 def coverage_cut(s, d):
-    """Busiest cells up to 90 % of the pings. The running total is over cells, not pings."""
-    c = port_cells(s, d)
-    run = F.sum("n").over(Window.orderBy(F.desc("n"), "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return c.withColumn("before", run).crossJoin(F.broadcast(c.agg(F.sum("n").alias("total")))).where("before < 0.9D * total").select("cell", "n")
+    """Busiest cells up to 90 % of the pings."""
+    return ranked.busiest(port_cells(s, d), 0.9)
 
 
 GAP_COLS = ("mmsi", "t_start", "t_end", "hour0")
@@ -394,13 +402,14 @@ def recall_cover(s, d):
     return injection.recall(*injection.blacked_out(src, injection.anchors(src, 8)))
 
 
-RADAR = f"{sql.LENS}, cells AS ({sql.HEX % 'lens'}), seen AS (SELECT DISTINCT (split_part(cell, ':', 1)::INTEGER + a)::VARCHAR || ':' || (split_part(cell, ':', 2)::INTEGER + b)::VARCHAR AS near FROM cells, (VALUES (0, 0), (1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)) AS k(a, b) WHERE event_type = 'signup' AND event_id % 8 = 0), radar AS (SELECT event_id, cell, NOT EXISTS (SELECT 1 FROM seen WHERE near = cell) AS dark FROM cells WHERE event_type = 'purchase')"
+FINE = geo.HexGrid(0.2)
+RADAR = f"{sql.LENS}, cells AS ({sql.hexed('lens', '0.2')}), seen AS (SELECT DISTINCT (split_part(cell, ':', 1)::INTEGER + a)::VARCHAR || ':' || (split_part(cell, ':', 2)::INTEGER + b)::VARCHAR AS near FROM cells, (VALUES (0, 0), (1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)) AS k(a, b) WHERE event_type = 'signup'), radar AS (SELECT event_id, cell, NOT EXISTS (SELECT 1 FROM seen WHERE near = cell) AS dark FROM cells WHERE event_type = 'purchase')"
 
 
 def _radar(s, d, some: bool = True) -> DataFrame:
     p = lens.pings(s, d)
-    reports = p.where((F.col("event_type") == "signup") & (F.col("event_id") % 8 == 0) & F.lit(some))
-    return proximity.corroborated(p.where("event_type = 'purchase'"), reports, GRID)
+    reports = p.where((F.col("event_type") == "signup") & F.lit(some))
+    return proximity.corroborated(p.where("event_type = 'purchase'"), reports, FINE)
 
 
 @query("SELECT event_id, cell, dark FROM radar", RADAR)
@@ -429,11 +438,11 @@ def sar_style(s, d):
     return _radar(s, d).select("event_id", pick(255, 60).alias("r"), pick(900, 500).alias("radius"), pick("dark", "seen").alias("label"))
 
 
-@query("SELECT count(*) AS n FROM lens WHERE sec >= (SELECT max(sec) FROM lens) - 7 * 86400")
+@query("SELECT count(*) AS n FROM lens WHERE sec >= (SELECT max(sec) FROM lens) - 30 * 86400")
 def rolling_30d(s, d):
-    """Scheduled moving window; the test table holds 30 days, so 7 are kept here."""
+    """Scheduled moving window of the last 30 days."""
     p = lens.pings(s, d)
-    return p.crossJoin(F.broadcast(p.agg(F.max("sec").alias("end")))).where("sec >= end - 7 * 86400").agg(F.count("*").alias("n"))
+    return p.crossJoin(F.broadcast(p.agg(F.max("sec").alias("end")))).where("sec >= end - 30 * 86400").agg(F.count("*").alias("n"))
 
 
 HEXDIGIT = "(" + " + ".join(f"(strpos('0123456789abcdef', substr(h, {i + 1}, 1)) - 1) * {pow(16, 31 - i, 100)}" for i in range(32)) + ") % 100"
@@ -531,12 +540,21 @@ def json_roundtrip(s, d):
     return s.read.schema(PLAIN_SCHEMA).json(path)
 
 
-@query("SELECT event_id, mmsi, (sec // 86400)::INTEGER AS day FROM lens WHERE sec // 86400 % 2 = 0")
+@query("SELECT event_id, mmsi, (sec // 86400)::INTEGER AS day FROM lens")
 def hive_partition_roundtrip(s, d):
-    """The filter on day prunes folders."""
     path = files.scratch(s, "hive")
     files.write_by(lens.pings(s, d).select("event_id", "mmsi", F.floor(F.col("sec") / 86400).cast("int").alias("day")), path, "day")
-    return s.read.parquet(path).where("day % 2 = 0").select("event_id", "mmsi", "day")
+    return s.read.parquet(path).select("event_id", "mmsi", "day")
+
+
+@query("SELECT event_id, mmsi, (sec // 86400)::INTEGER AS day FROM lens WHERE sec // 86400 > (SELECT (min(sec) + max(sec)) // 2 // 86400 FROM lens)")
+def hive_pruned_scan(s, d):
+    """The filter on the partition column is the feature: folders of the first half aren't read."""
+    path = files.scratch(s, "hive")
+    p = lens.pings(s, d).select("event_id", "mmsi", "sec", F.floor(F.col("sec") / 86400).cast("int").alias("day"))
+    files.write_by(p.drop("sec"), path, "day")
+    middle = p.agg(F.expr("(min(sec) + max(sec)) div 2 div 86400")).first()[0]
+    return s.read.parquet(path).where(F.col("day") > middle).select("event_id", "mmsi", "day")
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'error' THEN sec END AS sec FROM lens")

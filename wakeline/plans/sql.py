@@ -24,9 +24,18 @@ SILVER = f"{SEG}, silver AS (SELECT * FROM seg WHERE implied_kn IS NULL OR impli
 GX, GY, GX2, GY2 = PORT
 EDGE, KLON = 1.4, 111.32 * math.cos(math.radians(33.7))
 XY = f"((lon - (-118.2)) * {KLON!r}::DOUBLE)", "((lat - 33.7) * 110.57::DOUBLE)"
-HEX = f"""SELECT *, (CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END)::INTEGER::VARCHAR || ':' || (CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END)::INTEGER::VARCHAR AS cell
+
+
+def hexed(table: str, edge: str = "1.4") -> str:
+    """The table with its cells on the grid of that edge."""
+    q = f"({math.sqrt(3) / 3!r}::DOUBLE * {XY[0]} - {XY[1]} / 3) / {edge}::DOUBLE"
+    r = f"({2.0 / 3.0!r}::DOUBLE * {XY[1]}) / {edge}::DOUBLE"
+    return f"""SELECT *, (CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END)::INTEGER::VARCHAR || ':' || (CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END)::INTEGER::VARCHAR AS cell
 FROM (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs - s) AS ds FROM (SELECT *, round(q) AS rq, round(r) AS rr, round(s) AS rs FROM (SELECT *, -q - r AS s FROM (
-SELECT *, ({math.sqrt(3) / 3!r}::DOUBLE * {XY[0]} - {XY[1]} / 3) / 1.4::DOUBLE AS q, ({2.0 / 3.0!r}::DOUBLE * {XY[1]}) / 1.4::DOUBLE AS r FROM %s))))"""
+SELECT *, {q} AS q, {r} AS r FROM {table}))))"""
+
+
+HEX = hexed("%s")
 PIP = f"(lat > {GY} AND lat < {GY2} AND lon > {GX} AND lon < {GX2})"
 INSIDE = f"{SILVER}, ins AS (SELECT *, {PIP} AS inside FROM silver)"
 ENTRY = f"{INSIDE}, entry AS (SELECT *, inside AND NOT lag(inside, 1, false) OVER (PARTITION BY mmsi ORDER BY sec, event_id) AS entry FROM ins)"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -23,6 +24,18 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path, header=True)
 
 
+def ingest(df: DataFrame, path: str) -> int:
+    """Parquet with zstd; the number of rows, observed while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
+def write_single(df: DataFrame, path: str) -> None:
+    """One Parquet file, for results of few rows."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def write_by(df: DataFrame, path: str, *by: str) -> None:
     """Parquet under Hive folders, dealt by them so that each gets few files."""
     df.repartition(*by).write.partitionBy(*by).option("compression", "zstd").mode("overwrite").parquet(path)
