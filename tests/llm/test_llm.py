@@ -85,6 +85,29 @@ def test_repeats(docs, group):
     assert got == want and any(w[1] for w in want.values())
 
 
+@pytest.mark.parametrize(("order", "tokens"), [(5, 500_000), (3, 50)])
+def test_backoff_scores(spark, order, tokens):
+    """By definition, with counts of all other documents; repeated rows and null texts included."""
+    rng = random.Random(11)
+    texts = [None, "", " \t", "one", "Two two"] + [" ".join(rng.choice(["a", "b", "C", "dd", "é", f"r{rng.randrange(50)}"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    texts += texts[10:20]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    grams = [collections.Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in words]
+    every = sum(grams, collections.Counter())
+    size = sum(map(len, words))
+    got = {r["doc_id"]: (r["n_words"], r["log10_score"]) for r in lm.backoff_scores(documents(spark, texts).repartition(3), order, run_tokens=tokens).collect()}
+    assert len(got) == len(texts)
+    for d, w in enumerate(words):
+        rest, total = (lambda g: every[g] - grams[d][g]), 0.0  # noqa: B023
+        for i in range(len(w)):
+            most = min(order, i + 1)
+            k = next((k for k in range(most, 1, -1) if rest(tuple(w[i + 1 - k : i + 1])) > 0), 1)
+            g = tuple(w[i + 1 - k : i + 1])
+            total += math.log10(rest(g) / rest(g[:-1])) if k > 1 else math.log10(every[g] / size)
+            total += (most - k) * math.log10(0.4)
+        assert got[d][0] == len(w) and abs(got[d][1] - total) < 1e-6, d
+
+
 def plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []

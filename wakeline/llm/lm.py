@@ -1,10 +1,11 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Documents are encoded in runs of about RUN_TOKENS tokens. Each run asks for the corpus count of each of
-its distinct n-grams: the requests (with the run's own counts) are dealt by hash, each hash partition
-adds up its part of the n-gram count tables and answers every run, and the answers are joined to the
-run's exploded n-grams and summed per document. A run asks once for an n-gram however often it holds
-it, so a frequent n-gram is no hot key.
+Documents are encoded in runs of about RUN_TOKENS tokens. A run's n-grams of all orders are exploded into rows,
+each distinct one once with its count in the run, so a frequent n-gram is no hot key. The rows are dealt by
+hash; grouped, they are the n-gram count tables, and the tables are joined to the same rows again. What the
+join tells a run of the other runs goes back to it, and the scores of its tokens are summed by document.
+
+A document's own occurrences are no evidence for it: its counts are those of the rest of the corpus.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.shared import cut, map_batches
 
-#: Order of the model, discount per backoff step, and the count from which an n-gram is in the tables.
-ORDER, DISCOUNT, LEAST_COUNT = 2, 0.4, 2
-RUN_TOKENS = 1_000_000
+#: Order of the model and discount per backoff step.
+ORDER, DISCOUNT = 5, 0.4
+#: Tokens of a run, which one task holds, and rows handed on at once.
+RUN_TOKENS, ROWS = 500_000, 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = "run long, doc_ids array<long>, lengths array<int>, tokens binary, words binary"
 
@@ -43,7 +45,7 @@ def _expanded(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], run_tokens: int) -> Iterator[pa.RecordBatch]:
     """Runs of whole documents: token numbers, and the hash of each number's word."""
     part, count = TaskContext.get().partitionId() << 32, 0
     ids: list = []
@@ -66,7 +68,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc)
             lengths.append(len(found))
             size += len(found)
-            if size >= RUN_TOKENS or len(ids) >= 100_000:
+            if size >= run_tokens or len(ids) >= 100_000:
                 yield row()
                 ids, lengths, tokens, number, size, count = [], [], [], {}, 0, count + 1
     if ids:
@@ -99,97 +101,77 @@ class _Run:
             self.hashes.append(seen)
             self.counts.append(n)
 
-    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All distinct n-grams by hash partition: their order, and each partition's begin.
-
-        The lower 16 bits of a hash choose the partition, the other 48 tell n-grams apart inside it.
-        """
-        every = np.concatenate(self.hashes)
-        part = ((every & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
-        every = every >> np.uint64(16)
-        order = np.argsort(part, kind="stable")
-        return every, order, np.searchsorted(part[order], np.arange(parts + 1))
 
+def _asked(order: int):
+    """Runs -> (run, gram, n): each distinct n-gram of the run, of every order, and how often it stands there."""
 
-def _requests(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
                 own = _Run(r["lengths"], r["tokens"], r["words"], order)
-                every, o, begin = own.dealt(parts)
-                every, counts = every[o], np.concatenate(own.counts)[o].astype(np.uint32)
-                used = [p for p in range(parts) if begin[p] < begin[p + 1]]
-                cuts = [(begin[p], begin[p + 1]) for p in used]
-                yield pa.RecordBatch.from_arrays([pa.array([r["run"]] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([_squeezed(every[x:y]) for x, y in cuts], pa.binary()), pa.array([_squeezed(counts[x:y]) for x, y in cuts], pa.binary())], ["run", "part", "hashes", "counts"])
+                gram, n = np.concatenate(own.hashes).view(np.int64), np.concatenate(own.counts).astype(np.int64)
+                for k in range(0, len(gram), ROWS):
+                    part = slice(k, k + ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram[part]), r["run"])), pa.array(gram[part]), pa.array(n[part])], ["run", "gram", "n"])
 
     return run
 
 
-def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One partition of the count tables: totals by hash, and for each run the totals it asked for."""
-    asked = [_expanded(x) for x in pdf["hashes"]]
-    sizes = np.array([len(x) for x in asked])
-    every = np.concatenate(asked)
-    counts = np.concatenate([_expanded(x) for x in pdf["counts"]])
-    order = np.argsort(every)
-    new = np.concatenate([[True], np.diff(every[order]) != 0])
-    totals = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
-    out = np.empty(len(every), np.int64)
-    out[order] = totals[np.cumsum(new) - 1]
-    cuts = np.split(out, np.cumsum(sizes)[:-1])
-    return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "totals": [_squeezed(c) for c in cuts]})
-
+def _summed(order: int, size: int, discount: float):
+    """A run and what the other runs have of its n-grams -> the scores of its documents."""
 
-def _summed(order: int, parts: int, size: int, discount: float, least: int):
     def run(_, runs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         r = runs.iloc[0]
         own = _Run(r["lengths"], r["tokens"], r["words"], order)
-        every, o, _begin = own.dealt(parts)
-        totals = np.empty(len(every), np.int64)
-        totals[o] = np.concatenate([np.zeros(0, np.int64), *(_expanded(x).astype(np.int64) for x in answers.sort_values("part")["totals"])])
-        begin = np.cumsum([0, *map(len, own.hashes)])
+        gram, total = answers["gram"].to_numpy(np.int64), answers["total"].to_numpy(np.int64)
+        by = np.argsort(gram)
+        gram, total = gram[by], total[by]
+        doc = np.repeat(np.arange(len(own.lengths)), own.lengths)
         score = np.zeros(len(own.place))
-        prev = None
+        before = None
         for k in range(order):
-            mine = totals[begin[k] : begin[k + 1]]
-            which = own.which[k]
-            at = np.flatnonzero(own.place >= k)
-            n = np.zeros(len(which), np.int64)
-            n[at] = mine[which[at]]
+            known = own.hashes[k].view(np.int64)
+            at = np.minimum(np.searchsorted(gram, known), max(0, len(gram) - 1))
+            # an n-gram that no other run has isn't answered
+            every = np.where(gram[at] == known, total[at], own.counts[k]) if len(gram) else own.counts[k]
+            here = np.flatnonzero(own.place >= k)
+            which = own.which[k][here]
+            pair, of, mine = np.unique(doc[here] * max(1, len(known)) + which, return_inverse=True, return_counts=True)
+            rest = np.zeros(len(score), np.int64)
+            rest[here] = every[which] - mine[of]
             if not k:
-                score = np.log10(n / max(1, size))
+                score[here] = np.log10(every[which] / max(1, size))
             else:
-                kept = at[n[at] >= least]
-                backed = at[n[at] < least]
-                score[backed] += np.log10(discount)
-                score[kept] = np.log10(n[kept] / prev[kept - 1])
-            prev = n
+                kept = here[rest[here] > 0]
+                score[here] += np.log10(discount)
+                score[kept] = np.log10(rest[kept] / before[kept - 1])
+            before = rest
         ends = np.cumsum(own.lengths)
-        total = np.concatenate([[0.0], np.cumsum(score)])
-        return pd.DataFrame({"doc_id": pd.array(list(r["doc_ids"]), "Int64"), "n_words": own.lengths, "log10_score": total[ends] - total[ends - own.lengths]})
+        summed = np.concatenate([[0.0], np.cumsum(score)])
+        return pd.DataFrame({"doc_id": pd.array(list(r["doc_ids"]), "Int64"), "n_words": own.lengths, "log10_score": summed[ends] - summed[ends - own.lengths]})
 
     return run
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, least_count: int = LEAST_COUNT) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, run_tokens: int = RUN_TOKENS) -> DataFrame:
     """documents -> (doc_id, n_words, log10_score), a row for each input row.
 
     Words are what stands between ASCII blanks, with A-Z in lower case. A word's score is
-    count(n-gram) / count(its context) for the longest n-gram, up to `order`, that the corpus has at
-    least least_count times, times discount for each step down; the last step is count(word) / words
-    of the corpus. Counts are over all documents, repeated rows included. log10_score is the sum over
-    the document, 0 for a null or empty text. N-grams are told apart by 64-bit hashes, of which 16 bits only choose the partition. Other columns
-    are ignored; no rows give no rows.
+    count(n-gram) / count(its context) for the longest n-gram, up to `order`, that the rest of the corpus
+    has, times discount for each step down; counts leave the document itself out. The last step is the
+    word's count in all documents, this one too, by the words of the corpus. Repeated rows are documents of
+    their own. log10_score is the sum over the document, 0 for a null or empty text. N-grams are told apart
+    by 64-bit hashes. Other columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = cut(map_batches(rows, _encode, _RUNS), "runs")
-    n, size = runs.agg(F.count("*"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    parts = min(65536, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 8)))
-    asked = map_batches(runs, _requests(order, parts), "run long, part int, hashes binary, counts binary")
-    answers = asked.groupBy("part").applyInPandas(_answers, "run long, part int, totals binary")
-    found = runs.groupBy("run").cogroup(answers.groupBy("run"))
-    return found.applyInPandas(_summed(order, parts, size or 0, discount, least_count), "doc_id long, n_words long, log10_score double")
+    runs = cut(map_batches(rows, lambda batches: _encode(batches, run_tokens), _RUNS), "runs")
+    size = runs.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
+    # one exchange serves the tables and the join
+    asked = map_batches(runs, _asked(order), "run long, gram long, n long").repartition("gram")
+    tables = asked.groupBy("gram").agg(F.sum("n").alias("total"))
+    answers = asked.join(tables, "gram").where("total > n").select("run", "gram", "total")
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(_summed(order, size or 0, discount), "doc_id long, n_words long, log10_score double")
 
 
 def op7_stupid_backoff(spark, sf_dir: str) -> DataFrame:
@@ -201,12 +183,14 @@ OP7_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), i AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM t),
-p AS (SELECT rid, w[i] AS cur, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM i),
-u AS (SELECT cur AS x, count(*) AS n FROM p GROUP BY 1),
-b AS (SELECT prev AS x, cur AS y, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT rid, i, k, array_to_string(w[i - k + 1 : i], ' ') AS g FROM i, range(1, 6) AS o(k) WHERE i >= k),
+own AS (SELECT rid, k, g, count(*) AS n FROM g GROUP BY ALL),
+every AS (SELECT k, g, sum(n) AS n FROM own GROUP BY ALL),
+r AS (SELECT g.rid, g.i, g.k, every.n, every.n - own.n AS rest FROM g JOIN own USING (rid, k, g) JOIN every USING (k, g)),
 s AS (
-  SELECT p.rid, CASE WHEN b.n >= 2 THEN log10(b.n / v.n) ELSE log10(u.n / (SELECT count(*) FROM p)) + CASE WHEN p.prev IS NULL THEN 0 ELSE log10(0.4::DOUBLE) END END AS lp
-  FROM p JOIN u ON u.x = p.cur LEFT JOIN b ON b.x = p.prev AND b.y = p.cur LEFT JOIN u v ON v.x = p.prev
+  SELECT r.rid, CASE WHEN r.k = 1 THEN log10(r.n / (SELECT count(*) FROM i)) ELSE log10(r.rest / c.rest) END + (least(5, r.i) - r.k) * log10(0.4::DOUBLE) AS lp
+  FROM r LEFT JOIN r AS c ON c.rid = r.rid AND c.i = r.i - 1 AND c.k = r.k - 1 AND r.k > 1
+  WHERE r.k = 1 OR r.rest > 0 QUALIFY row_number() OVER (PARTITION BY r.rid, r.i ORDER BY r.k DESC) = 1
 ), d AS (SELECT rid, sum(lp) AS lp FROM s GROUP BY 1)
 SELECT t.doc_id, len(t.w)::BIGINT AS n_words, round(coalesce(d.lp, 0), 4) AS log10_score FROM t LEFT JOIN d USING (rid)
 """
