@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo, scalar
 from wakeline.ml import eta, forest
-from wakeline.operators import ranked
+from wakeline.operators import ranked, track
 from wakeline.plans import landing as landing_queries  # noqa: F401  registers its queries
 from wakeline.plans import learning, queries, run
 from wakeline.sources import files, geojson, landing
@@ -250,3 +250,15 @@ def test_styles(spark):
     assert [(r["r"], r["label"]) for r in scalar.styled(df).orderBy("id").collect()] == [(255, "dark"), (60, "seen")]
     one = spark.createDataFrame([(3, 5, 10.0), (3, 5, 10.5)], "n_vessels long, n_points long, km double")
     assert tuple(scalar.agreement(one).first()) == (False, 1)
+
+
+def test_mini_track(spark):
+    """One vessel by hand: the first ping, a repeated time, a jump, what follows a dropped ping, a gap."""
+    rows = [(0, 33.70), (600, 33.71), (600, 33.72), (1200, 34.00), (1800, 33.73), (9001, 33.80)]
+    df = spark.createDataFrame([(i, 1, t, lat, -118.2) for i, (t, lat) in enumerate(rows)], "event_id long, mmsi long, sec long, lat double, lon double")
+    seg = track.segments(track.deduplicated(df))
+    got = [(r["sec"], r["dt_s"], round(r["dist_km"], 6), r["implied_kn"] and round(r["implied_kn"], 6), r["gap_flag"]) for r in seg.orderBy("sec").collect()]
+    assert got == [(0, None, 0.0, None, None), (600, 600, 1.111951, 3.602432, False), (1200, 600, 32.246573, 104.47054, False), (1800, 600, 30.022672, 97.265675, False), (9001, 7201, 7.783656, 2.101127, True)]
+    assert [r["sec"] for r in track.without_jumps(seg).orderBy("sec").collect()] == [0, 600, 9001]
+    edge = df.where("event_id IN (0, 4)").withColumn("sec", F.when(F.col("sec") == 0, 0).otherwise(1800))
+    assert [r["gap_flag"] for r in track.segments(edge).orderBy("sec").collect()] == [None, False]

@@ -114,8 +114,8 @@ def engines_agree(s, d):
     """The same figures by the DataFrame API and by SQL text: equal counts, kilometres within a thousandth."""
     lens.pings(s, d).createOrReplaceTempView("wakeline_lens")
     text = s.sql(
-        "SELECT count(DISTINCT mmsi) AS n_vessels, count(*) AS n_points, sum(km) AS km FROM (SELECT mmsi, coalesce(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(lat - la) / 2), 2)"
-        " + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))), 0) AS km FROM (SELECT *, lag(lat) OVER (PARTITION BY mmsi ORDER BY sec, event_id) AS la,"
+        "SELECT count(DISTINCT mmsi) AS n_vessels, count(*) AS n_points, sum(km) AS km FROM (SELECT mmsi, coalesce(2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - la) / 2), 2)"
+        " + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))), 0) AS km FROM (SELECT *, lag(lat) OVER (PARTITION BY mmsi ORDER BY sec, event_id) AS la,"
         " lag(lon) OVER (PARTITION BY mmsi ORDER BY sec, event_id) AS lo FROM wakeline_lens))"
     )
     return scalar.agreement(trajectory_summary(s, d).unionByName(text))

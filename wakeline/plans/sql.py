@@ -11,7 +11,9 @@ X1, Y1, X2, Y2 = BOX
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
-    return f"(12742.0176::DOUBLE * asin(least(1::DOUBLE, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)))))"
+    h = f"(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))"
+    # not least(1, ...): it skips NULL, and a first ping's distance would be half the way round the earth
+    return f"(12742.0176::DOUBLE * asin(CASE WHEN {h} > 1 THEN 1 ELSE sqrt({h}) END))"
 
 
 KN = lambda km, s: f"CASE WHEN {s} > 0 THEN {km} / ({s} / 3600::DOUBLE) / 1.852::DOUBLE END"
