@@ -45,10 +45,13 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        prints = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+def _prints(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+
+    return run
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -217,15 +220,15 @@ def link_edges(prints: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     return edges.unionByName(more.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """documents -> (doc_id, fp long, component_id long), a row for each input row.
 
-    docs needs doc_id and text; other columns are ignored. Null and empty texts have fingerprint 0
+    Fingerprints are over shingles of `words` words. docs needs doc_id and text; other columns are ignored. Null and empty texts have fingerprint 0
     and are linked like any other. Equal fingerprints share a component. component_id is the least
     doc_id reached by links of at most 4 differing bits; a null doc_id is kept and never chosen
     (component_id is null if there is no other). No rows give no rows.
     """
-    prints = cut(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _prints, "doc_id long, fp long"), "prints")
+    prints = cut(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _prints(words), "doc_id long, fp long"), "prints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(link_edges(least))
     classes = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")

@@ -1,9 +1,11 @@
 """Groups of documents whose sets of word shingles are similar, with every link checked on the sets.
 
-Candidates share a band of MinHash values: at a Jaccard similarity of 0.8 all 16 bands of 4 values differ
-for about 2 pairs in 10,000. Equal token streams are one candidate. Members of a band are searched from
-one to the next, with the exact similarity of their shingle sets, so each one that is reached leaves the
-rest to look at; large bands are dealt out in pairs of slices.
+Candidates are the members of a SimHash component: fingerprints of the same shingles, linked within 4 bits by
+pigeonring. At a Jaccard similarity of 0.8 two fingerprints differ in about 10 of 64 bits, so few of such
+pairs are within 4; candidates are therefore also those that share a band of MinHash values: at 0.8 all 16
+bands of 4 values differ for about 2 pairs in 10,000. Equal token streams are one candidate. Members of a
+component or band are searched from one to the next, with the exact similarity of their shingle sets, so
+each one that is reached leaves the rest to look at; large ones are dealt out in pairs of slices.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm import simhash
 from wakeline.llm.components import components
 from wakeline.llm.shared import cut, map_batches
 
@@ -135,6 +138,8 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows
     first = cut(streams.groupBy("stream").agg(F.min("id").alias("first")), "first")
     texts = rows.join(first.select(F.col("first").alias("id")), "id", "left_semi")
     banded = cut(map_batches(texts, _banded(words), "id long, bands array<long>").select("id", F.explode("bands").alias("key")), "bands")
+    close = simhash.near_duplicates(texts.select(F.col("id").alias("doc_id"), "text"), words)
+    banded = banded.unionByName(close.select(F.col("doc_id").alias("id"), F.xxhash64(F.lit("simhash"), "component_id").alias("key")))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     # bands with the same members are compared once
     keys = cut(sizes.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("k")), "keys")
