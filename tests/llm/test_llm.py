@@ -19,7 +19,7 @@ from oracle_check import differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wakeline.llm import decontamination, html, lm, packing, pii, queries, simhash, similar, suffix, topk, toxicity, warc
+from wakeline.llm import decontamination, html, lm, packing, pii, queries, shared, simhash, similar, suffix, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "row long, id string, key long, part int, n long, u long, v long, base string, spans string, cands string"
@@ -57,9 +57,46 @@ def test_sql(spark, name):
     assert differences(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name], SF) == ""
 
 
-@pytest.mark.parametrize("make", [suffix.remove_repeats, simhash.near_duplicates, lm.backoff_scores, pii.detect, lambda d: packing.pack(d, public_tokenizers.path("word_bpe_49k.json"))])
-def test_empty_table(spark, make):
-    assert make(documents(spark, [])).count() == 0
+def pages_of(docs):
+    return docs.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), *[c for c in docs.columns if c not in ("doc_id", "text", "page_id", "url", "html")])
+
+
+def labels_of(docs):
+    return docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), "key", "n")
+
+
+def archived(docs):
+    folder = shared.fresh_path(docs.sparkSession, "warc")
+    return warc.read_warc(warc.write_warc(pages_of(docs), folder), folder)
+
+
+MAKE = {
+    "op1": archived,
+    "op2": suffix.remove_repeats,
+    "op3": lambda d: toxicity.toxicity(d, toxicity.fit(d, labels_of(d))),
+    "op4": lambda d: packing.pack(d, public_tokenizers.path("word_bpe_49k.json")),
+    "op5": lambda d: topk.top_products(d.select(F.col("doc_id").alias("vec_id"), F.array(F.length("text").cast("double")).alias("embedding"), "key", "part", "row")),
+    "op6": lambda d: html.main_text(pages_of(d)),
+    "op7": lm.backoff_scores,
+    "op8": lambda d: decontamination.contamination(d, d.select(F.col("doc_id").cast("string").alias("item_id"), "text", "key")),
+    "op9": pii.detect,
+    "op10": simhash.near_duplicates,
+}
+
+
+@pytest.mark.parametrize("name", MAKE)
+def test_empty_table(spark, name):
+    assert MAKE[name](documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in MAKE if n != "op5"])
+def test_nulls_repeats_and_clashing_columns(spark, name):
+    """A row for each row (each piece of one, in op4): null ids and texts, repeated rows, columns named as inner ones."""
+    rows = [(None, None), (None, "x"), (1, "a b c"), (1, "a b c"), (1, "other words"), (2, ""), (3, "mail a.b@c.de now"), (3, "mail a.b@c.de now")]
+    rows += [(10 + i, f"some text {i}") for i in range(20)]
+    got = MAKE[name](table(spark, rows, "doc_id long, text string")).collect()
+    key = "page_id" if name in ("op1", "op6") else "doc_id"
+    assert collections.Counter(r[key] for r in got) == collections.Counter(d for d, _ in rows)
 
 
 @pytest.mark.parametrize("k", range(4))

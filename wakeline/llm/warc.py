@@ -139,7 +139,9 @@ def write_warc(pages: DataFrame, folder: str, level: int = 3, archive_bytes: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long = F.octet_length("html") >= REVISIT_BYTES
     same = cut(rows.where(long).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL").select(F.col("digest").alias("of"), "last"), "payloads")
-    joined = rows.join(same, (F.col("digest") == F.col("of")) & long, "left")
+    # short payloads match nothing; a key of their own deals equal ones, such as all that are empty, to many tasks
+    own = F.when(long, F.col("digest")).otherwise(F.concat(F.lit("short-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = rows.withColumn("key", own).join(same, F.col("key") == F.col("of"), "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("last")) & F.col("last").isNotNull(), F.lit(False))
     ready = joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
     # a hash picks some four times the sample, so that tasks don't each send a whole one to the driver
