@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, near duplicates, decontamination, personal data, packing."""
+"""The corpus pipeline: toxicity, near duplicates, decontamination, personal data, packing.
+
+Stages go by row: doc_id may be null or repeat, and each row is judged by its own text. A null text is an empty
+one, which is neither toxic nor contaminated and is near-duplicate to other empty ones only. No rows give no
+rows; columns other than those of documents go.
+"""
 
 from __future__ import annotations
 
@@ -75,7 +80,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again; the pieces of what is left, packed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
