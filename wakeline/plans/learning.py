@@ -31,7 +31,7 @@ def _sequences(s, d) -> DataFrame:
     return eta.sequences(_gold(s, d))
 
 
-@query(f"SELECT event_id, {', '.join(f'round({c}, 4) AS {c}' for c in eta.FEATURES)} FROM feat", FEATURED)
+@query(f"SELECT event_id, {', '.join(f'round({c}, 4) + 0::DOUBLE AS {c}' for c in eta.FEATURES)} FROM feat", FEATURED)
 def eta_features(s, d):
     return eta.featured(_gold(s, d)).select("event_id", *(R4(c).alias(c) for c in eta.FEATURES))
 
