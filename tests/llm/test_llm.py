@@ -107,8 +107,9 @@ def test_suffix_array(k):
         assert suffix.suffix_array(t) == sorted(range(n), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("group", [8192, 9])
-def test_repeats(docs, group):
+@pytest.mark.parametrize(("group", "looked", "share"), [(8192, 2000, 0.01), (9, 2000, 1.0), (9, 60, 0.04), (8192, 10**6, 3e-6)])
+def test_repeats(docs, group, looked, share):
+    """By definition; also with large groups split, and with all or some grams taken as frequent."""
     size, rows = suffix.LENGTH, {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     seen = collections.Counter(raw[i : i + size] for raw in rows.values() for i in range(len(raw) - size + 1))
     want = {}
@@ -118,7 +119,7 @@ def test_repeats(docs, group):
             if seen[raw[i : i + size]] > 1:
                 gone[i : i + size] = True
         want[k] = (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), bytes(np.frombuffer(raw, np.uint8)[~gone]))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(docs, group).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(docs, group, looked, share).collect()}
     assert got == want and any(w[1] for w in want.values())
 
 

@@ -34,6 +34,11 @@ BATCH, PARTS, TEXTS = 3000, 36, 200_000
 ASKED = 1_000_000
 #: Contexts of a larger group that all its others are compared with before it is split.
 SOME = 64
+#: Documents looked at for frequent grams, and the share of them that has one. This only decides how rows are
+#: dealt, not what is found.
+LOOKED, FREQUENT = 2000, 0.01
+#: Begins of strings of a frequent gram that are compared together from the start.
+STRIDE = 29
 _BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,11 +158,11 @@ def context(raw: bytes, p: int) -> tuple[bytes, bytes]:
     return raw[max(0, p - SIDE) : p], raw[p + GRAM : p + LENGTH]
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, around, n, text, sure): each text's distinct anchors with the hash of their context.
+def _occurrences(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gram, around, n, text, sure, hot): each text's distinct anchors with the hash of their context.
 
     A third copy of a text adds nothing, so a task hands on two at most. An anchor whose context the task has
-    handed on twice is surely repeated; it need not ask, so a passage that many texts share is no hot gram.
+    handed on twice is surely repeated; it need not ask. hot: the gram is a frequent one.
     """
     copies: dict[bytes, int] = {}
     asked: dict[int, int] = {}
@@ -186,7 +191,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sure.append(np.array(before) > 1)
             texts += [own] * len(pairs)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(grams, np.uint64).view(np.int64)), pa.array(cat(around, np.uint64).view(np.int64)), pa.array(np.minimum(cat(n, np.int64), 2).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(cat(sure, bool))], ["gram", "around", "n", "text", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(cat(grams, np.uint64).view(np.int64)), pa.array(cat(around, np.uint64).view(np.int64)), pa.array(np.minimum(cat(n, np.int64), 2).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(cat(sure, bool)), pa.array(np.isin(cat(grams, np.uint64), frequent))], ["gram", "around", "n", "text", "sure", "hot"])
 
 
 def hash_of(raw: bytes, p: int) -> int:
@@ -200,18 +205,20 @@ _CLASS = "text binary, gram long, around long, solid boolean, ship boolean"
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram and context -> those that may be repeated; those that surely are pass as they come.
 
+    Contexts of a hot gram are dealt to several tasks, so it counts as having others everywhere.
+
     solid: the context occurs at least twice, so all of it is repeated. ship: the first row of a context
     whose gram has other contexts as well; one of equal contexts is enough to compare with.
     """
-    names = ["gram", "around", "n"]
+    names = ["gram", "around", "n", "hot"]
     held = None  # at most two rows of the gram that may go on
 
     def flags(t: pa.Table) -> tuple[np.ndarray, ...]:
-        gram, around, n = (t.column(c).to_numpy() for c in names)
+        gram, around, n, hot = (t.column(c).to_numpy() for c in names)
         new_gram = np.concatenate([[True], np.diff(gram) != 0])
         new = new_gram | np.concatenate([[True], np.diff(around) != 0])
         which, of = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
-        total, kinds = np.bincount(which, n)[which], np.bincount(of[new])[of]
+        total, kinds = np.bincount(which, n)[which], np.bincount(of[new])[of] + hot
         return new, total, kinds, np.flatnonzero(new_gram)[-1], np.flatnonzero(new)[-1]
 
     def put(t: pa.Table, keep: np.ndarray, solid: np.ndarray, ship: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -548,7 +555,7 @@ def _regrouped(rows: DataFrame) -> DataFrame:
 
 def _covered(contexts: DataFrame, limit: int) -> DataFrame:
     """(id, start, end): stretches of the shipped contexts that other contexts have too."""
-    rows = contexts.select("gram", F.lit(0).alias("lo"), F.lit(SIDE).alias("hi"), F.lit(0).cast("long").alias("sub"), "id", "at", "left", "right")
+    rows = contexts
     out, key = None, ["gram", "lo", "hi", "sub"]
     while True:
         done = cut(map_batches(rows.repartition(*key).sortWithinPartitions(*key), _compare(limit), _COVER), "stretches")
@@ -598,7 +605,35 @@ def _without(r: dict) -> dict:
     return {"n_bytes": len(raw), "n_removed": sum(e - a for a, e in spans), "n_spans": len(spans), "kept": b"".join(keep), "spans": [{"start": a, "end": e} for a, e in spans]}
 
 
-def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def _frequent(rows: DataFrame, looked: int, share: float) -> list[int]:
+    """Grams that stand in so many of about `looked` documents; few, as a document has few anchors."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = [np.unique(anchors((t or "").encode("utf-8", "surrogatepass"))[1]) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *every]).view(np.int64))], ["gram"])
+
+    part = min(1.0, looked / max(1, rows.count()))
+    few = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text")
+    found = map_batches(few, grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, share * looked))
+    return [r["gram"] for r in found.collect()]
+
+
+def _begun(contexts: DataFrame, frequent: list[int]) -> DataFrame:
+    """Contexts as groups to compare: all of a gram's, but those of a frequent gram by the bytes that strings share."""
+    cols = ["gram", "id", "at", "left", "right"]
+    spans = [(a, min(SIDE, a + STRIDE - 1)) for a in range(0, SIDE + 1, STRIDE)] if frequent else []
+    hot = F.col("gram").isin(frequent) if frequent else F.lit(False)
+    rare = contexts.where(~hot).select("gram", F.lit(0).alias("lo"), F.lit(SIDE).alias("hi"), F.lit(0).cast("long").alias("sub"), *cols[1:])
+    if not spans:
+        return rare
+    part = F.explode(F.array(*(F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in spans)))
+    cut_ = contexts.where(hot).select(*cols, part.alias("p")).select(*cols, "p.*", F.lit(0).cast("long").alias("sub"))
+    able = (F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= SIDE - F.col("hi"))
+    return rare.unionByName(_regrouped(cut_.where(able)))
+
+
+def remove_repeats(docs: DataFrame, group: int = GROUP, looked: int = LOOKED, share: float = FREQUENT) -> DataFrame:
     """documents -> (doc_id, n_bytes, n_removed, n_spans, kept binary, spans), a row for each input row.
 
     A byte goes if a string of LENGTH bytes that covers it begins anywhere else too, in this text or
@@ -610,8 +645,10 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     share, until it fits or one string is left, which all share.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    places = map_batches(rows.select("text"), _occurrences, "gram long, around long, n int, text binary, sure boolean")
-    dealt = places.repartition(F.when(F.col("sure"), F.xxhash64("text")).otherwise(F.col("gram")))
+    frequent = _frequent(rows, looked, share)
+    hot = np.array(frequent, np.int64).view(np.uint64)
+    places = map_batches(rows.select("text"), lambda batches: _occurrences(batches, hot), "gram long, around long, n int, text binary, sure boolean, hot boolean")
+    dealt = places.repartition(F.when(F.col("sure"), F.xxhash64("text")).when(F.col("hot"), F.xxhash64("gram", "around")).otherwise(F.col("gram")))
     known = map_batches(dealt.sortWithinPartitions("gram", "around"), _classify, _CLASS)
     # tasks that met copies of one text say the same of it, so a set holds each of its anchors but once or twice
     known = known.groupBy(F.col("text").alias("id")).agg(F.collect_set(F.struct("gram", "around", "solid", "ship")).alias("known"))
@@ -621,7 +658,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     none = tagged.join(known.select("id"), "id", "left_anti")
     found = cut(map_batches(some.select("doc_id", "text", "id", "known"), _gather, _FOUND), "texts")
     contexts = found.select("id", F.explode(F.arrays_zip("grams", "at", "lefts", "rights")).alias("c")).select("id", F.col("c.grams").alias("gram"), F.col("c.at").alias("at"), F.col("c.lefts").alias("left"), F.col("c.rights").alias("right"))
-    more = _covered(contexts, group).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    more = _covered(_begun(contexts, frequent), group).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     changed = map_batches(found.join(more, "id", "left").select("doc_id", "text", "id", "starts", "ends", "more"), _kept, _RESULT)
     zero = F.lit(0).cast("long")
     same = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
