@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -68,16 +69,23 @@ def named(marks: list[str]) -> float:
 
     The head word of a name counts, so an entry-header is none; words of state (has-sidebar) tell nothing.
     """
-    most = 0.0
-    for mark in marks:
-        words = [w.lower() for w in _PARTS.findall(mark)]
-        if not words or not _STATES.isdisjoint(words) or _NAMES.isdisjoint(words):
-            continue
-        core = [w for w in words if w not in _FILLERS] or words
-        if not _STORY.isdisjoint(words) and core[-1] in ("header", "banner", "masthead"):
-            continue
-        most = max(most, 2.0 if core[-1] in _NAMES else 1.0)
-    return most
+    return max(map(_named, marks), default=0.0)
+
+
+@lru_cache(100_000)
+def _named(mark: str) -> float:
+    words = [_plain(w.lower()) for w in _PARTS.findall(mark)]
+    if not _STATES.isdisjoint(words) or _NAMES.isdisjoint(words):
+        return 0.0
+    core = [w for w in words if w not in _FILLERS] or words
+    if not _STORY.isdisjoint(words) and core[-1] in ("header", "banner", "masthead"):
+        return 0.0
+    return 2.0 if core[-1] in _NAMES else 1.0
+
+
+def _plain(word: str) -> str:
+    """relatedposts is related, as posts only fills the name."""
+    return next((n for n in _NAMES if len(n) > 3 and word.startswith(n) and word[len(n) :] in _FILLERS), word)
 
 
 class Page:
