@@ -24,21 +24,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return cut(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
 
 
-def _as_id(rows: DataFrame) -> DataFrame:
-    """What the operators look at, the row's number in place of doc_id."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
-
-
-def _kept(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows whose number isn't a doc_id of bad, in the input's columns."""
-    return rows.join(cut(bad.select(F.col("doc_id").alias("_row")), "bad"), "_row", "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go, each row by its own text. The model learns from labelled documents given."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = _numbered(docs)
-    return _kept(rows, toxicity.toxicity(_as_id(rows), model).where(F.col("score") >= toxicity.THRESHOLD))
+    return toxicity.toxicity(docs, model, keep=COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go, each row by its own text."""
-    rows = _numbered(docs)
-    return _kept(rows, decontamination.contamination(_as_id(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contamination(docs, benchmark, keep=COLUMNS).where("NOT contaminated").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,8 +83,8 @@ def _runs(text: str, hit: np.ndarray) -> list[dict]:
     return [{"a": a, "b": b, "start": at[a][0], "end": at[b - 1][1]} for a, b in edge.reshape(-1, 2).tolist()]
 
 
-def _scan(items: list[tuple[str | None, str]], size: int):
-    """Rows -> hits of these items' windows. A worker builds their automaton once and keeps one."""
+def _scan(items: list[tuple[str | None, str]], size: int, keep: list[str]):
+    """Rows -> hits of these items' windows, and the columns to keep. A worker builds their automaton once and keeps one."""
     name = hashlib.sha1(repr((size, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +94,12 @@ def _scan(items: list[tuple[str | None, str]], size: int):
         automaton = _built[name]
         for b in batches:
             out = []
-            for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for row, doc, text in zip(b.column("_row").to_pylist(), b.column("_doc").to_pylist(), b.column("_text").to_pylist(), strict=True):
                 words = words_of(text)
                 hit, found = automaton.scan(words)
                 out.append({"row": row, "doc_id": doc, "n_words": len(words), "runs": _runs(text, hit) if hit.any() else [], "items": sorted(found)})
-            yield pa.RecordBatch.from_pylist(out, _ARROW)
+            found = pa.RecordBatch.from_pylist(out, _ARROW)
+            yield pa.RecordBatch.from_arrays([*found.columns, *map(b.column, keep)], [*found.schema.names, *keep])
 
     return run
 
@@ -114,30 +115,36 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str |
         yield sorted(((r["item_id"], r["text"]) for r in part.toLocalIterator()), key=str)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """documents -> (doc_id, n_words, n_hit, items, spans, contaminated), a row for each input row.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> (doc_id, n_words, n_hit, items, spans, contaminated, *keep), a row for each input row.
 
     items are the item_ids (as strings, sorted) with an occurring window; spans are the runs of hit
     words as code-point offsets in the original text. A document is contaminated if a twentieth of
     its words or more is hit. Null and empty texts have no words and aren't contaminated. Items with a null
     text or without words have no windows; those with a null item_id hit words but aren't listed; repeated
-    items count once. Other columns are ignored; no rows give no rows. Texts of at most shard_bytes (and one
-    item more) go to the tasks, which build the automaton; a larger benchmark is scanned in shards, one after
-    the other, whose hits are written and joined by row.
+    items count once. keep names input columns to carry along as they are; other columns are ignored; no rows
+    give no rows. Texts of at most shard_bytes (and one item more) go to the tasks, which build the automaton;
+    a larger benchmark is scanned in shards, one after the other, whose hits are written and joined by row.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carried = [c for c in keep if c != "doc_id"]
+    rows = docs.select(F.lit(None).cast("long").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"), *carried)
+    schema = ", ".join([_SCHEMA, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
     shards = _shards(benchmark, shard_bytes)
     first, second = next(shards), next(shards, None)
     if second is None:
-        return _judged(map_batches(rows.select(F.lit(None).cast("long").alias("row"), "doc_id", "text"), _scan(first, size), _SCHEMA))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows").select("row", "doc_id", "text")
-    found = cut(map_batches(rows, _scan(first, size), _SCHEMA), "hits")
+        return _judged(map_batches(rows, _scan(first, size, carried), schema), carried)
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    asked = rows.select("_row", "_doc", "_text")
+    found = cut(map_batches(asked, _scan(first, size, []), _SCHEMA), "hits")
     while second is not None:
-        found = found.unionByName(cut(map_batches(rows, _scan(second, size), _SCHEMA).where(F.size("runs") > 0), "hits"))
+        found = found.unionByName(cut(map_batches(asked, _scan(second, size, []), _SCHEMA).where(F.size("runs") > 0), "hits"))
         second = next(shards, None)
     flat = lambda c: F.flatten(F.collect_list(c))
     every = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(flat("runs")).alias("runs"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
-    return _judged(every.withColumn("runs", _united(F.col("runs"))))
+    every = every.withColumn("runs", _united(F.col("runs")))
+    if carried:
+        every = every.withColumnRenamed("row", "_row").join(rows.select("_row", *carried), "_row")
+    return _judged(every, carried)
 
 
 def _united(runs: Column) -> Column:
@@ -151,11 +158,10 @@ def _united(runs: Column) -> Column:
     return F.aggregate(runs, F.filter(runs, lambda _: F.lit(False)), put)
 
 
-def _judged(found: DataFrame) -> DataFrame:
+def _judged(found: DataFrame, keep: list[str]) -> DataFrame:
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + (r["b"] - r["a"]))
     spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans")
-    out = found.select("doc_id", "n_words", n.alias("n_hit"), "items", spans)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return found.select("doc_id", "n_words", n.alias("n_hit"), "items", spans, ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"), *keep)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

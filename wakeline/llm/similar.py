@@ -3,9 +3,12 @@
 Candidates are the members of a SimHash component: fingerprints of the same shingles, linked within 4 bits by
 pigeonring. At a Jaccard similarity of 0.8 two fingerprints differ in about 10 of 64 bits, so few of such
 pairs are within 4; candidates are therefore also those that share a band of MinHash values: at 0.8 all 16
-bands of 4 values differ for about 2 pairs in 10,000. Equal token streams are one candidate. Members of a
-component or band are searched from one to the next, with the exact similarity of their shingle sets, so
-each one that is reached leaves the rest to look at; large ones are dealt out in pairs of slices.
+bands of 4 values differ for about 2 pairs in 10,000. Equal token streams are one candidate.
+
+First each member meets the least one of its component or band, a pair that several bands propose but once.
+Where all of a group are similar to its least member, that connects it. Only the other groups of three or
+more are searched from one member to the next, so that each one that is reached leaves the rest to look at;
+large ones are dealt out in pairs of slices.
 """
 
 from __future__ import annotations
@@ -127,6 +130,38 @@ def _linked(least: float):
     return run
 
 
+def _stars(stars: DataFrame, sets: DataFrame, slice_rows: int) -> DataFrame:
+    """(u, part, v, members), the middle's own row first: a middle with many members has a copy in each part."""
+    sizes = stars.groupBy("least").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("k"))
+    own = sizes.select("least", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("least").alias("id"))
+    dealt = stars.join(sizes, "least").select("least", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"), "id")
+    whole = own.unionByName(dealt).join(sets, "id").select(F.col("least").alias("u"), "part", F.col("id").alias("v"), "members")
+    return whole.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v") != F.col("u"))
+
+
+def _met(least: float):
+    """Rows of _stars -> each member with its middle, and whether their sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, middle = None, None
+        for b in batches:
+            us, vs, ok = [], [], []
+            for u, v, raw in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("members").to_pylist(), strict=True):
+                found = np.frombuffer(raw, np.uint64)
+                if u == v:
+                    now, middle = u, found
+                    continue
+                if u != now:
+                    raise ValueError("a middle's own row comes first")
+                n, m = len(middle), len(found)
+                us.append(u)
+                vs.append(v)
+                ok.append(min(n, m) >= least * max(n, m) and similarity(middle, found) >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok, pa.bool_())], ["u", "v", "similar"])
+
+    return run
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows: int = SLICE) -> DataFrame:
     """(id, text) -> (id, root), a row for each input row; ids are distinct and not null.
 
@@ -140,14 +175,21 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows
     banded = cut(map_batches(texts, _banded(words), "id long, bands array<long>").select("id", F.explode("bands").alias("key")), "bands")
     close = simhash.near_duplicates(texts.select(F.col("id").alias("doc_id"), "text"), words)
     banded = banded.unionByName(close.select(F.col("doc_id").alias("id"), F.xxhash64(F.lit("simhash"), "component_id").alias("key")))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
-    # bands with the same members are compared once
-    keys = cut(sizes.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("k")), "keys")
-    members = cut(banded.join(keys, "key"), "members")
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    # groups with the same members are compared once
+    keys = cut(sizes.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("least").alias("least")), "keys")
+    members = cut(banded.join(keys.select("key", "least", "n"), "key"), "members")
     sets = cut(map_batches(rows.join(members.select("id").distinct(), "id", "left_semi"), _sets(words), "id long, members binary"), "sets")
-    sliced = members.withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    stars = members.where("id <> least").select("least", "id").distinct()
+    met = cut(map_batches(_stars(stars, sets, slice_rows), _met(least), "u long, v long, similar boolean"), "met")
+    known = met.where("similar").select("u", "v")
+    # groups of three or more that their least member doesn't connect
+    apart = members.where("id <> least AND n > 2").join(met.where("NOT similar"), (F.col("least") == F.col("u")) & (F.col("id") == F.col("v"))).select("key").distinct()
+    open_keys = keys.join(apart, "key").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("k"))
+    sliced = members.select("key", "id").join(open_keys, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pairs = sliced.select("key", "id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).join(sets, "id")
-    edges = map_batches(pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "id", "members"), _linked(least), "u long, v long")
+    more = map_batches(pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "id", "members"), _linked(least), "u long, v long")
+    edges = known.unionByName(more)
     roots = components(cut(edges.distinct(), "edges"))
     known = first.join(roots.withColumnRenamed("node", "first"), "first", "left").select("stream", F.coalesce("root", "first").alias("root"))
     return streams.join(known, "stream").select("id", "root")
