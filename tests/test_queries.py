@@ -201,6 +201,36 @@ def test_report_source(spark, api):
     assert sum(s[0] == "/never" for s in seen) == 3 and all(s[2] == "Bearer k" and s[1]["start"] == "2024-01-01" for s in seen)
 
 
+def test_message_source(spark, tmp_path):
+    """A numbered feed that is away at times: each message arrives once, over a restart as well."""
+    feed, calls = [{"MessageType": "PositionReport", "MetaData": {"mmsi": k % 3}, "Message": {"Seq": k, "Sec": k}} for k in range(25)], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            calls.append(self.path)
+            url = urllib.parse.urlparse(self.path)
+            q = dict(urllib.parse.parse_qsl(url.query))
+            bad = len(calls) in (2, 4)
+            body = json.dumps(len(feed) if url.path == "/latest" else feed[int(q["from"]) : int(q["to"])]).encode()
+            self.send_response(503 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b"" if bad else body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(landing.MessageSource)
+    options = {"url": f"http://127.0.0.1:{server.server_port}", "span": "10", "wait": "0"}
+    out, log = f"file://{tmp_path}/out", f"file://{tmp_path}/log"
+    stream = lambda: live.parsed(spark.readStream.format("vessel_messages").options(**options).load()).select("seq", "mmsi")
+    assert sorted(r["seq"] for r in live.recorded(stream(), out, log, seconds=1).collect()) == list(range(25))
+    feed.extend(dict(feed[0], Message={"Seq": k, "Sec": k}) for k in range(25, 31))
+    assert sorted(r["seq"] for r in live.recorded(stream(), out, log, seconds=1).collect()) == list(range(31))
+    server.shutdown()
+
+
 def test_download(api, tmp_path):
     url, seen = api
     assert landing.download(f"{url}/first", f"{tmp_path}/f") == (tmp_path / "f").stat().st_size > 0

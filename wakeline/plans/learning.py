@@ -9,7 +9,7 @@ from wakeline.functions import geo
 from wakeline.ml import eta, forest
 from wakeline.operators import injection, track
 from wakeline.plans import lens, sql
-from wakeline.plans.queries import HEXDIGIT, INJECT, R4, _dark, _eta, _port_km, _source, query
+from wakeline.plans.queries import HEXDIGIT, INJECT, R4, _dark, _eta, _port_km, _source, query, saved
 from wakeline.sources import files
 
 SPLIT = f"CASE WHEN {HEXDIGIT} < 70 THEN 'train' WHEN {HEXDIGIT} < 85 THEN 'val' ELSE 'test' END"
@@ -72,9 +72,7 @@ def eta_naive_by_split(s, d):
 @query()
 def gbt_eta(s, d):
     """Errors of boosted trees on vessels they haven't seen; the model is saved and read again. Trees depend on how rows are dealt."""
-    path = files.scratch(s, "sequences")
-    _sequences(s, d).select("mmsi", "split", "y", *eta.FEATURES).write.parquet(path)
-    rows, folder = s.read.parquet(path), files.scratch(s, "model")
+    rows, folder = saved(_sequences(s, d).select("mmsi", "split", "y", *eta.FEATURES), "sequences"), files.scratch(s, "model")
     eta.train(rows).write().save(folder)
     return eta.report(rows, eta.GBTRegressionModel.load(folder))
 
@@ -84,9 +82,7 @@ ISO = ["gap_h", "dist_km", "implied_kn", "sog_before", "hour0", "abs_lat"]
 
 def _scored(s, d) -> DataFrame:
     """Gaps with both flags, as a table: the threshold needs all scores before any row is judged."""
-    path = files.scratch(s, "gaps")
-    _dark(s, d).withColumn("abs_lat", F.abs("lat0")).write.parquet(path)
-    found = forest.scored(s.read.parquet(path), ISO, F.col("event_id"))
+    found = forest.scored(saved(_dark(s, d).withColumn("abs_lat", F.abs("lat0")), "gaps"), ISO, F.col("event_id"))
     return found.withColumn("dark", F.col("rule_flag") | F.col("iso_anomaly"))
 
 
@@ -117,7 +113,7 @@ COVER = "count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dark WHERE rule_flag AND d
 
 @query(f"SELECT CASE WHEN count(*) = 0 THEN 'NaN'::DOUBLE ELSE round({COVER} / count(*), 4) END AS recall FROM truth", f"{INJECT}, {sql.gaps_of('kept')}")
 def recall_ratio(s, d):
-    src = _source(s, d)
+    src = saved(_source(s, d), "source")
     found = injection.recall(*injection.blacked_out(src, injection.anchors(src, 8)))
     return found.select(R4(injection.ratio()).alias("recall"))
 

@@ -29,6 +29,13 @@ def query(text: str | None = None, stages: str = sql.LENS):
     return put
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, where several branches read it."""
+    path = files.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _silver(s, d) -> DataFrame:
     return track.silver(lens.pings(s, d), lens.BOX)
 
@@ -138,9 +145,11 @@ def multi_identity(s, d):
 
 @query(f"SELECT count(DISTINCT mmsi) AS n_vessels, count(*) AS n_points, round(sum(km), 4) AS km FROM (SELECT mmsi, coalesce({sql.hav('la', 'lo', 'lat', 'lon')}, 0) AS km FROM (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM lens WINDOW w AS (PARTITION BY mmsi ORDER BY sec, event_id)))")
 def trajectory_summary(s, d):
+    """Vessels, pings and kilometres; the sums by vessel need no shuffle after the window's."""
     w = track.by_vessel()
     km = F.coalesce(geo.haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0))
-    return lens.pings(s, d).select("mmsi", km.alias("km")).agg(F.count_distinct("mmsi").alias("n_vessels"), F.count("*").alias("n_points"), R4(F.sum("km")).alias("km"))
+    by = lens.pings(s, d).select("mmsi", km.alias("km")).groupBy("mmsi").agg(F.count("*").alias("n"), F.sum("km").alias("km"))
+    return by.agg(F.count("mmsi").alias("n_vessels"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_points"), R4(F.sum("km")).alias("km"))
 
 
 @query(f"SELECT event_id, round({sql.hav('lat', 'lon', '34.0', '-118.0')}, 4) AS km FROM lens")
@@ -398,7 +407,7 @@ def inject_blackouts(s, d):
 
 @query("SELECT count(*) AS n_truth, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dark WHERE rule_flag AND dark.mmsi = truth.mmsi AND t_start <= anchor AND t_end >= until)) AS n_hit FROM truth", f"{INJECT}, {sql.gaps_of('kept')}")
 def recall_cover(s, d):
-    src = _source(s, d)
+    src = saved(_source(s, d), "source")
     return injection.recall(*injection.blacked_out(src, injection.anchors(src, 8)))
 
 

@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CHUNK = 1 << 20
 AGENT = "wakeline/1"
@@ -154,3 +154,72 @@ class ReportSource(DataSource):
 
     def reader(self, schema) -> ReportReader:
         return ReportReader(self.options)
+
+
+class _Span(InputPartition):
+    def __init__(self, begin: int, end: int) -> None:
+        self.begin, self.end = begin, end
+
+
+class MessageReader(DataSourceStreamReader):
+    """Offsets are message numbers of the feed; a batch is dealt to tasks in spans of `span` messages.
+
+    A feed that can't be reached has nothing new until the next trigger, so the stream goes on by itself
+    when it is back. A span that a task can't fetch fails the batch, which is then run again from its offsets.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.o = dict(options)
+        self.known = 0
+
+    def _get(self, path: str) -> object:
+        request = urllib.request.Request(f"{self.o['url'].rstrip('/')}/{path}", headers={"User-Agent": AGENT})
+        with urllib.request.urlopen(request, timeout=float(self.o.get("timeout", 30))) as r:
+            return json.load(r)
+
+    def initialOffset(self) -> dict:
+        return {"at": int(self.o.get("from", 0))}
+
+    def latestOffset(self) -> dict:
+        try:
+            self.known = max(self.known, int(self._get("latest")))
+        except (OSError, ValueError, TypeError):
+            pass
+        return {"at": max(self.known, self.initialOffset()["at"])}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        step = int(self.o.get("span", 10_000))
+        return [_Span(a, min(a + step, end["at"])) for a in range(start["at"], end["at"], step)]
+
+    def read(self, part: _Span) -> Iterator[tuple]:
+        tries = int(self.o.get("tries", 3))
+        for k in range(tries):
+            try:
+                found = self._get(f"messages?from={part.begin}&to={part.end}")
+                break
+            except (OSError, ValueError):
+                if k + 1 == tries:
+                    raise
+                time.sleep(float(self.o.get("wait", 5)))
+        for n, message in enumerate(found):
+            yield part.begin + n, json.dumps(message)
+
+    def commit(self, end: dict) -> None:
+        self.known = max(self.known, end["at"])
+
+
+class MessageSource(DataSource):
+    """spark.readStream.format("vessel_messages"): a numbered feed of JSON messages.
+
+    Options: url (which serves latest and messages?from=&to=), from, span, tries, wait, timeout.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "vessel_messages"
+
+    def schema(self) -> str:
+        return "number long, value string"
+
+    def streamReader(self, schema) -> MessageReader:
+        return MessageReader(self.options)
