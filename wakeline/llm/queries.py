@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op5_norm_sorted_topk": topk.OP5_SQL,
     "op7_stupid_backoff": lm.OP7_SQL,
+    "op8_decontamination": decontamination.OP8_SQL,
 }

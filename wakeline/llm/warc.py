@@ -184,3 +184,12 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     archives = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_warc(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+same AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN same ON p.n >= 1000 AND p.html = same.html
+"""
