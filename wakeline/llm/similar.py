@@ -6,9 +6,10 @@ pairs are within 4; candidates are therefore also those that share a band of Min
 bands of 4 values differ for about 2 pairs in 10,000. Equal token streams are one candidate.
 
 First each member meets the least one of its component or band, a pair that several bands propose but once.
-Where all of a group are similar to its least member, that connects it. Only the other groups of three or
-more are searched from one member to the next, so that each one that is reached leaves the rest to look at;
-large ones are dealt out in pairs of slices.
+Where all of a group are similar to its least member, that connects it, and what is connected over other
+groups is so in this one. Only groups that are still in several parts are searched, from one member to the
+next, so that each part that is reached leaves the rest to look at; large ones are dealt out in pairs of
+slices.
 """
 
 from __future__ import annotations
@@ -87,22 +88,30 @@ def _sets(words: int):
     return run
 
 
-def links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Edges that connect what similar pairs connect, by a search from member to member."""
-    rest, out = list(range(len(ids))), []
-    while rest:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and rest:
+def links(ids: list[int], sets: list[np.ndarray], least: float, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what similar pairs connect, by a search from member to member.
+
+    Members of one class are connected already, so they are reached together and never compared.
+    """
+    classes = classes or list(range(len(ids)))
+    of: dict[int, list[int]] = {}
+    for i, c in enumerate(classes):
+        of.setdefault(c, []).append(i)
+    out: list[tuple[int, int]] = []
+    while len(of) > 1:
+        queue = of.pop(next(iter(of)))
+        while queue and of:
             a = queue.pop()
-            n, far = len(sets[a]), []
-            for b in rest:
-                m = len(sets[b])
-                if min(n, m) >= least * max(n, m) and similarity(sets[a], sets[b]) >= least:
-                    out.append((ids[a], ids[b]))
-                    queue.append(b)
-                else:
-                    far.append(b)
-            rest = far
+            n, reached = len(sets[a]), []
+            for c, members in of.items():
+                for b in members:
+                    m = len(sets[b])
+                    if min(n, m) >= least * max(n, m) and similarity(sets[a], sets[b]) >= least:
+                        out.append((ids[a], ids[b]))
+                        reached.append(c)
+                        break
+            for c in reached:
+                queue += of.pop(c)
     return out
 
 
@@ -110,19 +119,21 @@ def _linked(least: float):
     """Rows sorted by group -> edges; one group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, ids, sets, classes = None, [], [], []
 
         def edges() -> pa.RecordBatch:
-            found = links(ids, sets, least)
+            found = links(ids, sets, least, classes)
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for b in batches:
-            for key, one, raw in zip(zip(*(b.column(c).to_pylist() for c in ("key", "a", "b")), strict=True), b.column("id").to_pylist(), b.column("members").to_pylist(), strict=True):
+            keys = zip(*(b.column(c).to_pylist() for c in ("key", "a", "b")), strict=True)
+            for key, one, of, raw in zip(keys, b.column("id").to_pylist(), b.column("of").to_pylist(), b.column("members").to_pylist(), strict=True):
                 if key != now:
                     if len(ids) > 1:
                         yield edges()
-                    now, ids, sets = key, [], []
+                    now, ids, sets, classes = key, [], [], []
                 ids.append(one)
+                classes.append(of)
                 sets.append(np.frombuffer(raw, np.uint64))
         if len(ids) > 1:
             yield edges()
@@ -183,12 +194,16 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows
     stars = members.where("id <> least").select("least", "id").distinct()
     met = cut(map_batches(_stars(stars, sets, slice_rows), _met(least), "u long, v long, similar boolean"), "met")
     known = met.where("similar").select("u", "v")
-    # groups of three or more that their least member doesn't connect
+    # groups of three or more that their least member doesn't connect, nor the others' least members do
     apart = members.where("id <> least AND n > 2").join(met.where("NOT similar"), (F.col("least") == F.col("u")) & (F.col("id") == F.col("v"))).select("key").distinct()
-    open_keys = keys.join(apart, "key").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("k"))
-    sliced = members.select("key", "id").join(open_keys, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pairs = sliced.select("key", "id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).join(sets, "id")
-    more = map_batches(pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "id", "members"), _linked(least), "u long, v long")
+    classes = components(known).select(F.col("node").alias("id"), F.col("root").alias("of"))
+    still = members.join(apart, "key").join(classes, "id", "left").select("key", "id", "n", F.coalesce("of", "id").alias("of"))
+    still = cut(still, "apart")
+    open_keys = still.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.first("n").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("k"))
+    sliced = still.drop("n").join(open_keys, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pairs = sliced.select("key", "id", "of", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).join(sets, "id")
+    dealt = pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    more = map_batches(dealt.select("key", "a", "b", "id", "of", "members"), _linked(least), "u long, v long")
     edges = known.unionByName(more)
     roots = components(cut(edges.distinct(), "edges"))
     known = first.join(roots.withColumnRenamed("node", "first"), "first", "left").select("stream", F.coalesce("root", "first").alias("root"))
