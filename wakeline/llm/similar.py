@@ -6,7 +6,7 @@ pairs are within 4; candidates are therefore also those that share a band of Min
 bands of 4 values differ for about 2 pairs in 10,000. Equal token streams are one candidate.
 
 Pairs meet by their signatures first, 64 MinHash values of 16 bits, and their sets are compared only if NEAR of
-the values agree: at 0.8 fewer do for about one pair in a million. First each member meets the least one of
+the values agree: at 0.8 fewer do for about four pairs in a million. First each member meets the least one of
 its component or band, a pair that several bands propose but once. Where all of a group are similar to its
 least member, that connects it, and what is connected over other groups is so in this one. In groups that
 are still in several parts, members of different parts meet; large ones are dealt out in pairs of slices.
