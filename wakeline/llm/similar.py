@@ -5,11 +5,11 @@ pigeonring. At a Jaccard similarity of 0.8 two fingerprints differ in about 10 o
 pairs are within 4; candidates are therefore also those that share a band of MinHash values: at 0.8 all 16
 bands of 4 values differ for about 2 pairs in 10,000. Equal token streams are one candidate.
 
-Pairs meet by their signatures first, 64 MinHash values of 16 bits, and their sets are compared only if NEAR of
-the values agree: at 0.8 fewer do for about four pairs in a million. First each member meets the least one of
-its component or band, a pair that several bands propose but once. Where all of a group are similar to its
-least member, that connects it, and what is connected over other groups is so in this one. In groups that
-are still in several parts, members of different parts meet; large ones are dealt out in pairs of slices.
+First each member meets the least one of its component or band, a pair that several bands propose but once.
+Where all of a group are similar to its least member, that connects it, and what is connected over other
+groups is so in this one. Only groups that are still in several parts are searched, from one member to the
+next, so that each part that is reached leaves the rest to look at; large ones are dealt out in pairs of
+slices.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from wakeline.llm.shared import cut, map_batches
 
 WORDS, LEAST, SEED = 5, 0.8, 42
 BANDS, VALUES = 16, 4
-#: Values of two signatures that agree before the sets are compared.
-NEAR = 36
 #: Members of a band that one task compares at once; larger bands are cut into slices of about that size.
 SLICE = 1024
 _RNG = np.random.default_rng(SEED)
@@ -60,22 +58,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def bands(found: np.ndarray) -> list[int]:
     least = np.full(BANDS * VALUES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(found), 4096):
         least = np.minimum(least, ((found[None, i : i + 4096] ^ _XOR) * _TIMES).min(1))
-    return least
-
-
-def bands(least: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[i * VALUES : (i + 1) * VALUES].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def brief(least: np.ndarray) -> bytes:
-    """16 mixed bits of each value."""
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16).tobytes()
-
-
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         stream = [xxhash.xxh3_128_digest(b" ".join(_tokens(t))) for t in b.column("text").to_pylist()]
@@ -85,8 +74,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _banded(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = [signature(shingles(t, words)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([bands(x) for x in every], pa.list_(pa.int64())), pa.array([brief(x) for x in every], pa.binary())], ["id", "bands", "sign"])
+            every = [bands(shingles(t, words)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(every, pa.list_(pa.int64()))], ["id", "bands"])
 
     return run
 
@@ -94,42 +83,81 @@ def _banded(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "members"])
 
     return run
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values of signature a each row of b has."""
-    return (a[None, :] == b).sum(1)
+def links(ids: list[int], sets: list[np.ndarray], least: float, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what similar pairs connect, by a search from member to member.
 
+    Members of one class are connected already, so they are reached together and never compared.
+    """
+    classes = classes or list(range(len(ids)))
+    of: dict[int, list[int]] = {}
+    for i, c in enumerate(classes):
+        of.setdefault(c, []).append(i)
+    out: list[tuple[int, int]] = []
+    while len(of) > 1:
+        queue = of.pop(next(iter(of)))
+        while queue and of:
+            a = queue.pop()
+            n, reached = len(sets[a]), []
+            for c, members in of.items():
+                for b in members:
+                    m = len(sets[b])
+                    if min(n, m) >= least * max(n, m) and similarity(sets[a], sets[b]) >= least:
+                        out.append((ids[a], ids[b]))
+                        reached.append(c)
+                        break
+            for c in reached:
+                queue += of.pop(c)
+    return out
+
+
+def _linked(least: float):
+    """Rows sorted by group -> edges; one group is held at a time."""
 
-def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _stars -> pairs of a member and its middle whose signatures are near, and others."""
-    now, middle = None, None
-    for b in batches:
-        us, vs, near = [], [], []
-        for u, v, raw in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("data").to_pylist(), strict=True):
-            found = np.frombuffer(raw, np.uint16)
-            if u == v:
-                now, middle = u, found
-                continue
-            if u != now:
-                raise ValueError("a middle's own row comes first")
-            us.append(u)
-            vs.append(v)
-            near.append(bool((middle == found).sum() >= NEAR))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(near, pa.bool_())], ["u", "v", "near"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets, classes = None, [], [], []
+
+        def edges() -> pa.RecordBatch:
+            found = links(ids, sets, least, classes)
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in ("key", "a", "b")), strict=True)
+            for key, one, of, raw in zip(keys, b.column("id").to_pylist(), b.column("of").to_pylist(), b.column("members").to_pylist(), strict=True):
+                if key != now:
+                    if len(ids) > 1:
+                        yield edges()
+                    now, ids, sets, classes = key, [], [], []
+                ids.append(one)
+                classes.append(of)
+                sets.append(np.frombuffer(raw, np.uint64))
+        if len(ids) > 1:
+            yield edges()
+
+    return run
+
+
+def _stars(stars: DataFrame, sets: DataFrame, slice_rows: int) -> DataFrame:
+    """(u, part, v, members), the middle's own row first: a middle with many members has a copy in each part."""
+    sizes = stars.groupBy("least").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("k"))
+    own = sizes.select("least", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("least").alias("id"))
+    dealt = stars.join(sizes, "least").select("least", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"), "id")
+    whole = own.unionByName(dealt).join(sets, "id").select(F.col("least").alias("u"), "part", F.col("id").alias("v"), "members")
+    return whole.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v") != F.col("u"))
 
 
 def _met(least: float):
-    """Rows of _stars with whole sets -> each member with its middle, and whether their sets are similar."""
+    """Rows of _stars -> each member with its middle, and whether their sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, middle = None, None
         for b in batches:
             us, vs, ok = [], [], []
-            for u, v, raw in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for u, v, raw in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("members").to_pylist(), strict=True):
                 found = np.frombuffer(raw, np.uint64)
                 if u == v:
                     now, middle = u, found
@@ -145,41 +173,6 @@ def _met(least: float):
     return run
 
 
-def _stars(stars: DataFrame, data: DataFrame, slice_rows: int) -> DataFrame:
-    """(u, part, v, data), the middle's own row first: a middle with many members has a copy in each part."""
-    sizes = stars.groupBy("u").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("k"))
-    own = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("u").alias("v"))
-    dealt = stars.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("part"), "v")
-    whole = own.unionByName(dealt).join(data.withColumnRenamed("id", "v"), "v").select("u", "part", "v", "data")
-    return whole.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v") != F.col("u"))
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group -> pairs of members of different parts whose signatures are near; one group is held."""
-    now, ids, of, signs = None, [], [], []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        i, c, x = np.array(ids, np.int64), np.array(of, np.int64), np.stack([np.frombuffer(r, np.uint16) for r in signs])
-        for k in range(len(i) - 1):
-            rest = np.flatnonzero(c[k + 1 :] != c[k]) + k + 1
-            near = rest[_agree(x[k], x[rest]) >= NEAR]
-            if len(near):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[k], i[near])), pa.array(np.maximum(i[k], i[near]))], ["u", "v"])
-
-    for b in batches:
-        keys = zip(*(b.column(c).to_pylist() for c in ("key", "a", "b")), strict=True)
-        for key, one, part, raw in zip(keys, b.column("id").to_pylist(), b.column("of").to_pylist(), b.column("data").to_pylist(), strict=True):
-            if key != now:
-                if len(set(of)) > 1:
-                    yield from pairs()
-                now, ids, of, signs = key, [], [], []
-            ids.append(one)
-            of.append(part)
-            signs.append(raw)
-    if len(set(of)) > 1:
-        yield from pairs()
-
-
 def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows: int = SLICE) -> DataFrame:
     """(id, text) -> (id, root), a row for each input row; ids are distinct and not null.
 
@@ -190,37 +183,27 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows
     streams = cut(map_batches(rows, _digests, "id long, stream binary"), "streams")
     first = cut(streams.groupBy("stream").agg(F.min("id").alias("first")), "first")
     texts = rows.join(first.select(F.col("first").alias("id")), "id", "left_semi")
-    signed = cut(map_batches(texts, _banded(words), "id long, bands array<long>, sign binary"), "signatures")
+    banded = cut(map_batches(texts, _banded(words), "id long, bands array<long>").select("id", F.explode("bands").alias("key")), "bands")
     close = simhash.near_duplicates(texts.select(F.col("id").alias("doc_id"), "text"), words)
-    banded = signed.select("id", F.explode("bands").alias("key"))
     banded = banded.unionByName(close.select(F.col("doc_id").alias("id"), F.xxhash64(F.lit("simhash"), "component_id").alias("key")))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     # groups with the same members are compared once
-    keys = sizes.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("least").alias("least"))
+    keys = cut(sizes.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("least").alias("least")), "keys")
     members = cut(banded.join(keys.select("key", "least", "n"), "key"), "members")
-    signs = signed.select("id", F.col("sign").alias("data"))
-    stars = members.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
-    met = cut(map_batches(_stars(stars, signs, slice_rows), _near_stars, "u long, v long, near boolean"), "met")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs with whether their sets are similar; only their documents' sets are made and travel."""
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        sets = cut(map_batches(rows.join(ids, "id", "left_semi"), _sets(words), "id long, data binary"), "sets")
-        return cut(map_batches(_stars(pairs, sets, slice_rows), _met(least), "u long, v long, similar boolean"), "checked")
-
-    first_ = checked(met.where("near").select("u", "v"))
-    known = first_.where("similar").select("u", "v")
+    sets = cut(map_batches(rows.join(members.select("id").distinct(), "id", "left_semi"), _sets(words), "id long, members binary"), "sets")
+    stars = members.where("id <> least").select("least", "id").distinct()
+    met = cut(map_batches(_stars(stars, sets, slice_rows), _met(least), "u long, v long, similar boolean"), "met")
+    known = met.where("similar").select("u", "v")
     # groups of three or more that their least member doesn't connect, nor the others' least members do
-    failed = met.where("NOT near").select("u", "v").unionByName(first_.where("NOT similar").select("u", "v"))
-    apart = members.where("id <> least AND n > 2").join(failed, (F.col("least") == F.col("u")) & (F.col("id") == F.col("v"))).select("key").distinct()
+    apart = members.where("id <> least AND n > 2").join(met.where("NOT similar"), (F.col("least") == F.col("u")) & (F.col("id") == F.col("v"))).select("key").distinct()
     classes = components(known).select(F.col("node").alias("id"), F.col("root").alias("of"))
-    still = cut(members.join(apart, "key").join(classes, "id", "left").select("key", "id", "n", F.coalesce("of", "id").alias("of")), "apart")
+    still = members.join(apart, "key").join(classes, "id", "left").select("key", "id", "n", F.coalesce("of", "id").alias("of"))
+    still = cut(still, "apart")
     open_keys = still.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.first("n").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("k"))
     sliced = still.drop("n").join(open_keys, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pairs = sliced.select("key", "id", "of", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).join(signs, "id")
+    pairs = sliced.select("key", "id", "of", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).join(sets, "id")
     dealt = pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    across = map_batches(dealt.select("key", "a", "b", "id", "of", "data"), _across, "u long, v long").distinct()
-    more = checked(cut(across.join(failed, ["u", "v"], "left_anti"), "across")).where("similar").select("u", "v")
+    more = map_batches(dealt.select("key", "a", "b", "id", "of", "members"), _linked(least), "u long, v long")
     edges = known.unionByName(more)
     roots = components(cut(edges.distinct(), "edges"))
     known = first.join(roots.withColumnRenamed("node", "first"), "first", "left").select("stream", F.coalesce("root", "first").alias("root"))
