@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import decontamination, html, lm, packing, pii, simhash, suffix, topk, toxicity, warc
+from wakeline.llm import decontamination, html, lm, packing, pii, secret_scan, simhash, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii_bootstrapped": pii.op9_pii_bootstrapped,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op13_secret_ledger": secret_scan.op13_secret_ledger,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_norm_sorted_topk": topk.OP5_SQL,
     "op7_stupid_backoff": lm.OP7_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op13_secret_ledger": secret_scan.OP13_SQL,
 }
