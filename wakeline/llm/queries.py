@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import alignment, decontamination, html, lm, packing, pii, secret_scan, simhash, suffix, topk, toxicity, warc
+from wakeline.llm import alignment, decontamination, html, lm, packing, pii, ranked_search, secret_scan, simhash, suffix, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii_bootstrapped": pii.op9_pii_bootstrapped,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_byte_owner_alignment": alignment.op12_byte_owner_alignment,
     "op13_secret_ledger": secret_scan.op13_secret_ledger,
 }
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_norm_sorted_topk": topk.OP5_SQL,
     "op7_stupid_backoff": lm.OP7_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
     "op13_secret_ledger": secret_scan.OP13_SQL,
 }
