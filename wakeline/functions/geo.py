@@ -120,5 +120,11 @@ def in_rings(lat: Column, lon: Column, edges: list[tuple[float, float, float, fl
 
 
 def box_edges(x1: float, y1: float, x2: float, y2: float) -> list[tuple[float, float, float, float]]:
-    ring = [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
+    ring = closed_ring((x1, y1, x2, y2))
     return [(*a, *b) for a, b in zip(ring, ring[1:], strict=False)]
+
+
+def closed_ring(box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
+    """A box (west, south, east, north) as the closed ring (lon, lat) that report APIs take as a polygon."""
+    x1, y1, x2, y2 = box
+    return [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]

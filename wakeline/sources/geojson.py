@@ -40,3 +40,13 @@ def write_cells(cells: DataFrame, grid: HexGrid, path: str) -> None:
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiPolygon").alias("type"), "coordinates").alias("geometry"), F.create_map().cast("map<string,string>").alias("properties"))
     whole = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
     shape.select(F.to_json(whole).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_rings(rings: DataFrame, path: str) -> None:
+    """Rings (ring, outer, area, points) as GeoJSON: a file for each outer ring, a polygon with its holes."""
+    own = F.transform("points", lambda p: F.array(p["lon"], p["lat"]))
+    by = rings.groupBy("outer").agg(F.array_sort(F.collect_list(F.struct((F.col("ring") != F.col("outer")).alias("hole"), "ring", own.alias("at")))).alias("rings"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: r["at"]).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.create_map().cast("map<string,string>").alias("properties"))
+    whole = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
+    by.select(F.to_json(whole).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from wakeline.functions.geo import closed_ring
+
 CHUNK = 1 << 20
 AGENT = "wakeline/1"
 #: Lines of a zipped file that are handed on at once.
@@ -125,6 +127,9 @@ class ReportReader(DataSourceReader):
 
     def read(self, part: _Report) -> Iterator[tuple]:
         query = {k: self.o[k] for k in ("start", "end", "polygon", "limit") if k in self.o}
+        if "box" in self.o:
+            box = tuple(map(float, self.o["box"].split(",")))
+            query["polygon"] = json.dumps({"type": "Polygon", "coordinates": [[list(p) for p in closed_ring(box)]]})
         url = f"{self.o['url'].rstrip('/')}/{part.name}?{urllib.parse.urlencode(query)}"
         head = {"User-Agent": AGENT} | ({"Authorization": f"Bearer {self.o['token']}"} if "token" in self.o else {})
         entries: list = []
@@ -142,7 +147,7 @@ class ReportReader(DataSourceReader):
 class ReportSource(DataSource):
     """spark.read.format("vessel_reports"): detections, presence and gap events of an HTTP report API as rows.
 
-    Options: url, reports (comma-separated), start, end, polygon (GeoJSON), limit, token, tries, wait, timeout.
+    Options: url, reports (comma-separated), start, end, polygon (GeoJSON) or box (west,south,east,north), limit, token, tries, wait, timeout.
     """
 
     @classmethod
