@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo, hexsphere
 from wakeline.functions.hexsphere import HexSphere
-from wakeline.operators import polygons
+from wakeline.operators import polygons, sliced, track
 from wakeline.plans import places, queries
 from wakeline.sources import geojson
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["sphere_cells", "sphere_traffic", "sphere_parents", "sphere_arrivals", "pings_near_starts", "port_cells", "port_inside"]
+NAMES = ["sphere_cells", "sphere_traffic", "sphere_parents", "sphere_arrivals", "pings_near_starts", "port_cells", "port_inside", "sliced_segments", "sliced_arrivals", "sliced_last_known", "sliced_sequences"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -150,3 +150,23 @@ def test_rings_with_holes_and_islands(spark, tmp_path):
 def test_box_as_a_closed_ring():
     assert geo.closed_ring((1.0, 2.0, 3.0, 4.0)) == [(1.0, 2.0), (3.0, 2.0), (3.0, 4.0), (1.0, 4.0), (1.0, 2.0)]
     assert places.RES == 7
+
+
+@pytest.mark.parametrize("rows", [3, 40, 10_000])
+def test_slices_change_nothing(spark, rows):
+    """Small slices, gaps of many buckets, repeated times; a vessel of half of all pings is in many slices of about `rows` pings."""
+    rng = random.Random(rows)
+    pings = [(i, 100 if i % 2 else 100 + rng.randrange(5), rng.choice([rng.randrange(4000), rng.randrange(4_000_000)]), rng.uniform(33, 34), rng.uniform(-119, -118), rng.random() < 0.2, rng.choice([None, i])) for i in range(1200)]
+    df = spark.createDataFrame(pings, "event_id long, mmsi long, sec long, lat double, lon double, inside boolean, v long").repartition(7)
+    cut = sliced.sliced(df, rows, 60)
+    held = cut.where("mmsi = 100").groupBy("slice").count().collect()
+    assert len(held) == 1 if rows > 1200 else len(held) >= 0.5 * 600 / (rows + 20)
+    same = lambda a, b, *c: sorted(map(str, a.select("event_id", *c).collect())) == sorted(map(str, b.select("event_id", *c).collect()))
+    assert same(sliced.deduplicated(cut), track.deduplicated(df))
+    assert same(sliced.segments(cut), track.segments(df), "dt_s", "dist_km", "implied_kn", "gap_flag")
+    entered = sliced.entries(cut)
+    assert same(entered, track.entries(df), "entry")
+    assert same(sliced.next_arrival(entered), track.next_arrival(track.entries(df)), "arrival")
+    assert same(sliced.last_known(cut, F.col("v"), "last"), track.last_known(df, F.col("v"), "last"), "last")
+    labelled = lambda x: x.withColumn("has_eta", F.col("event_id") % 3 == 0)
+    assert same(sliced.sequences(labelled(cut), ["sec", "lat"]), track.sequences(labelled(df), ["sec", "lat"]), "steps")

@@ -40,6 +40,11 @@ def segments(df: DataFrame) -> DataFrame:
     """Adds dt_s, dist_km, implied_kn and gap_flag against the vessel's previous ping."""
     w = by_vessel()
     before = df.withColumns({"lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w), "sec0": F.lag("sec").over(w)})
+    return measured(before)
+
+
+def measured(before: DataFrame) -> DataFrame:
+    """Figures against the previous ping, which stands beside as lat0, lon0 and sec0; these go."""
     dt = F.col("sec") - F.col("sec0")
     dist = F.coalesce(haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), F.lit(0.0))
     out = before.withColumn("dt_s", dt).withColumn("dist_km", dist)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import hexsphere
 from wakeline.functions.hexsphere import HexSphere
-from wakeline.operators import polygons, ranked, track
+from wakeline.operators import polygons, ranked, sliced, track
 from wakeline.plans import lens, sql
 from wakeline.plans.queries import R4, query
 from wakeline.sources import files, geojson
@@ -141,3 +141,51 @@ def port_inside(s, d):
     p = lens.pings(s, d).select("event_id", "lat", "lon")
     hits = polygons.within(p, polygons.cover(edges, PORT_RES), PORT_RES).select("event_id", F.lit(True).alias("hit"))
     return p.join(hits, "event_id", "left").select("event_id", F.coalesce("hit", F.lit(False)).alias("inside"))
+
+
+# --- a vessel with half of all pings, in slices of time
+
+HALF = f"{lens.SQL.strip().replace('lens AS', 'lens0 AS', 1)}, lens AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 200000000 ELSE mmsi END AS mmsi) FROM lens0)"
+_half = lambda text: text.replace(lens.SQL.strip(), HALF)
+#: Slices that the busiest vessel is cut into, about half as many as this.
+SLICES = 100
+
+
+def _sliced(s, d) -> DataFrame:
+    p = lens.pings(s, d).withColumn("mmsi", F.when(F.col("event_id") % 2 == 0, F.lit(200000000).cast("long")).otherwise(F.col("mmsi")))
+    return sliced.sliced(p, max(1, p.count() // SLICES))
+
+
+def _sliced_silver(s, d) -> DataFrame:
+    return track.without_jumps(sliced.segments(sliced.deduplicated(track.without_sentinels(track.clip(_sliced(s, d), *lens.BOX)))))
+
+
+def _sliced_eta(s, d) -> DataFrame:
+    from wakeline.plans.queries import _inside
+
+    return track.eta_label(sliced.next_arrival(sliced.entries(_inside(_sliced_silver(s, d)))))
+
+
+@query("SELECT event_id, dt_s, round(dist_km, 4) AS dist_km, gap_flag FROM silver", _half(sql.SILVER))
+def sliced_segments(s, d):
+    """Segments where one vessel has half of all pings; its track is spread over many tasks."""
+    return _sliced_silver(s, d).select("event_id", "dt_s", R4("dist_km").alias("dist_km"), "gap_flag")
+
+
+@query("SELECT event_id, arrival, round(eta_min, 4) AS eta_min, has_eta FROM eta", _half(sql.ETA))
+def sliced_arrivals(s, d):
+    return _sliced_eta(s, d).select("event_id", "arrival", R4("eta_min").alias("eta_min"), "has_eta")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest FROM lens", _half(sql.LENS))
+def sliced_last_known(s, d):
+    return sliced.last_known(_sliced(s, d), F.when(F.col("event_type") == "signup", F.col("event_id")), "latest").select("event_id", "latest")
+
+
+@query(
+    "SELECT event_id, round(km, 3) AS km FROM (SELECT event_id, has_eta, sum(dist_km) OVER w AS km, count(*) OVER w AS k FROM eta WINDOW w AS (PARTITION BY mmsi ORDER BY sec, event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) WHERE k = 16 AND has_eta",
+    _half(sql.ETA),
+)
+def sliced_sequences(s, d):
+    found = sliced.sequences(_sliced_eta(s, d), ["dist_km"])
+    return found.select("event_id", F.round(F.aggregate("steps", F.lit(0.0), lambda a, v: a + v["dist_km"]), 3).alias("km"))
