@@ -1,8 +1,10 @@
 """Cells of the sphere, covers and rings by brute force."""
 
+import hashlib
 import json
 import math
 import random
+import zipfile
 
 import numpy as np
 import pytest
@@ -13,10 +15,10 @@ from wakeline.functions import geo, hexsphere
 from wakeline.functions.hexsphere import HexSphere
 from wakeline.operators import polygons, sliced, track
 from wakeline.plans import places, queries
-from wakeline.sources import geojson
+from wakeline.sources import archives, geojson, landing
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["sphere_cells", "sphere_traffic", "sphere_parents", "sphere_arrivals", "pings_near_starts", "port_cells", "port_inside", "sliced_segments", "sliced_arrivals", "sliced_last_known", "sliced_sequences"]
+NAMES = ["sphere_cells", "sphere_traffic", "sphere_parents", "sphere_arrivals", "pings_near_starts", "port_cells", "port_inside", "sliced_segments", "sliced_arrivals", "sliced_last_known", "sliced_sequences", "archive_members"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -170,3 +172,41 @@ def test_slices_change_nothing(spark, rows):
     assert same(sliced.last_known(cut, F.col("v"), "last"), track.last_known(df, F.col("v"), "last"), "last")
     labelled = lambda x: x.withColumn("has_eta", F.col("event_id") % 3 == 0)
     assert same(sliced.sequences(labelled(cut), ["sec", "lat"]), track.sequences(labelled(df), ["sec", "lat"]), "steps")
+
+
+def test_archives_by_member(spark, tmp_path):
+    """A partition for each member, chosen by pattern; damaged and empty archives fail, an empty folder has no rows."""
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("notes.txt", "x\n")
+        z.writestr("One.CSV", "id,name\r\n1,é\r\n\r\n2,\r\n")
+        with z.open("two.csv", "w") as f:
+            f.write(b"id,name\n")
+            for k in range(300_000):
+                f.write(b"%d,%s\n" % (k, b"v" * 40))
+    (tmp_path / "none").mkdir()
+    spark.dataSource.register(archives.ArchiveSource)
+    of = lambda path, **o: spark.read.format("vessel_archives").options(path=f"file://{path}", **o).load()
+    first = of(tmp_path).orderBy("n").collect()
+    assert [(r["member"], r["n"], r["line"]) for r in first] == [("One.CSV", 0, "id,name"), ("One.CSV", 1, "1,é"), ("One.CSV", 2, ""), ("One.CSV", 3, "2,")]
+    every = of(tmp_path, all="true")
+    assert every.rdd.getNumPartitions() == 2 and every.count() == 300_005
+    assert [tuple(r) for r in archives.read_csv(spark, f"file://{tmp_path}/a.zip", "id long, name string").orderBy("id").collect()] == [(1, "é"), (2, None)]
+    assert archives.read_csv(spark, f"file://{tmp_path}", "id long, name string", member="two*").agg(F.sum("id")).first()[0] == 300_000 * 299_999 // 2
+    assert of(tmp_path / "none").count() == 0
+    for bad in (f"{tmp_path}/missing", f"{tmp_path}/broken.zip", f"{tmp_path}/other.zip"):
+        if bad.endswith("broken.zip"):
+            (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+        if bad.endswith("other.zip"):
+            with zipfile.ZipFile(bad, "w") as z:
+                z.writestr("readme", "x")
+        with pytest.raises(Exception, match="No such|NotFound|missing|not a zip|no \\*.csv"):
+            of(bad).count()
+
+
+def test_hashes_of_large_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    blobs = {f"f {k}.bin": bytes([k]) * size for k, size in enumerate((1, 1000, 3_000_000, 1 << 20))}
+    for name, raw in blobs.items():
+        (tmp_path / "in" / name).write_bytes(raw)
+    got = {r["name"]: (r["bytes"], r["sha256"]) for r in landing.manifest(spark, f"file://{tmp_path}/in", 1000).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in blobs.items()}

@@ -12,7 +12,7 @@ from wakeline.functions.hexsphere import HexSphere
 from wakeline.operators import polygons, ranked, sliced, track
 from wakeline.plans import lens, sql
 from wakeline.plans.queries import R4, query
-from wakeline.sources import files, geojson
+from wakeline.sources import archives, files, geojson
 
 RES, PORT_RES = 7, 8
 
@@ -189,3 +189,16 @@ def sliced_last_known(s, d):
 def sliced_sequences(s, d):
     found = sliced.sequences(_sliced_eta(s, d), ["dist_km"])
     return found.select("event_id", F.round(F.aggregate("steps", F.lit(0.0), lambda a, v: a + v["dist_km"]), 3).alias("km"))
+
+
+# --- archives
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, round(sum(value), 2) AS total FROM events GROUP BY 1", "one AS (SELECT 1)")
+def archive_members(s, d):
+    """Events by way of zipped CSV files, a member for each task that writes and for each that reads."""
+    path = files.scratch(s, "archives")
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "value").repartition(5)
+    archives.write_csv(e, path).agg(F.sum("n")).first()
+    rows = archives.read_csv(s, path, "event_id long, event_type string, value double")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"))

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from wakeline.functions.geo import closed_ring
+from wakeline.sources import archives
 
 CHUNK = 1 << 20
 AGENT = "wakeline/1"
+#: Bytes of a file up to which it is read whole.
+WHOLE_BYTES = 256 << 20
 #: Lines of a zipped file that are handed on at once.
 LINES = 10_000
 
@@ -42,7 +45,8 @@ def download(url: str, dest: str, agent: str = AGENT) -> int:
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, line): the lines of the first .csv member (in any case) of each archive under path.
 
-    Archives go to different tasks, and one is read line by line. An archive without a .csv member fails.
+    Archives go to different tasks, and one is read line by line. An archive without a .csv member fails. Each archive is
+    held whole, up to 2 GB; archives.ArchiveSource has a task for each member and no such bound.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,10 +77,16 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_csv("line", schema, options).alias("r")).select("r.*")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files under path, each hashed by the task that reads it; empty files aren't listed."""
+def manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(name, bytes, sha256) of the files under path, each hashed by the task that reads it; empty files aren't listed.
+
+    Files of up to whole_bytes are read whole, as any store that Spark can open gives them; larger ones chunk by chunk.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    named = [F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes")]
+    small = files.where(F.col("length") <= whole_bytes).select(*named, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select("path", "length")
+    return small.unionByName(archives.hashes(large).join(large, "path").select(*named, "sha256"))
 
 
 def stamp() -> str:
