@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wakeline.operators import ranked
+from wakeline.sources.files import scratch
 
 # fixed values: trees, rows a tree sees, share of anomalies, seed
 TREES, SAMPLE, SHARE, SEED = 200, 256, 0.02, 42
@@ -91,6 +92,9 @@ def scored(df: DataFrame, features: list[str], key: Column, trees: int = TREES,
             yield pa.RecordBatch.from_arrays([*b.drop_columns(names).columns, pa.array(forest.score(_matrix(b, names)))], [*(n for n in b.schema.names if n not in names), "iso_score"])
 
     schema = StructType([*df.schema.fields, StructField("iso_score", DoubleType())])
-    out = flat.mapInArrow(run, schema)
+    # written, as the threshold reads all scores before any row is judged
+    path = scratch(df.sparkSession, "scores")
+    flat.mapInArrow(run, schema).write.parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
     least = ranked.quantiles(out, "iso_score", [1 - share]).select(F.col("value").alias("_least"))
     return out.crossJoin(F.broadcast(least)).withColumn("iso_anomaly", F.col("iso_score") > F.col("_least")).drop("_least")

@@ -33,15 +33,19 @@ def running(df: DataFrame, order: list[Column], value: Column, name: str) -> Dat
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """(share, value): exact quantiles with linear interpolation; nulls don't count, NaN is the largest number.
 
-    No row gives null values.
+    No row gives null values. Values are counted first, and those counts written, so that a frequent value is one row and what
+    df is made from runs once.
     """
     spark = df.sparkSession
-    ranked = running(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x")), [F.col("x")], F.lit(1), "rank")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    path = scratch(spark, "values")
+    counts.write.parquet(path)
+    ranked = running(spark.read.schema(counts.schema).parquet(path), [F.col("x")], F.col("n"), "last").withColumn("first", F.col("last") - F.col("n") + 1)
     wanted = spark.createDataFrame([(s,) for s in shares], "share double")
-    n = ranked.agg(F.count("*").alias("n"))
+    n = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     at = wanted.crossJoin(F.broadcast(n)).withColumn("at", F.col("share") * (F.col("n") - 1) + 1)
     near = at.select("share", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-    met = ranked.join(F.broadcast(near), "rank", "right").groupBy("share", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    met = ranked.drop("n").join(F.broadcast(near), F.col("rank").between(F.col("first"), F.col("last")), "right").groupBy("share", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     return met.select("share", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 

@@ -211,9 +211,10 @@ def stream_gaps(s, d):
     p = lens.pings(s, d).select("mmsi", "sec")
     middle = p.agg(F.expr("min(sec) + (max(sec) - min(sec)) div 2").alias("middle"))
     halves = p.crossJoin(F.broadcast(middle))
-    halves.where("sec <= middle").drop("middle").coalesce(1).write.parquet(path)
-    halves.where("sec > middle").drop("middle").coalesce(1).write.mode("append").parquet(path)
-    stream = s.readStream.schema("mmsi long, sec long").option("maxFilesPerTrigger", 1).parquet(path)
+    files_each = 4
+    halves.where("sec <= middle").drop("middle").repartition(files_each).write.parquet(path)
+    halves.where("sec > middle").drop("middle").repartition(files_each).write.mode("append").parquet(path)
+    stream = s.readStream.schema("mmsi long, sec long").option("maxFilesPerTrigger", files_each).parquet(path)
     return live.landed(live.gaps(stream, track.GAP_S), "gaps")
 
 

@@ -58,7 +58,7 @@ def eta_scaler(s, d):
 @query(f"SELECT event_id, {', '.join(f'round(({c} - (SELECT mean FROM ({SCALER}) WHERE feature = {chr(39)}{c}{chr(39)})) / (SELECT std FROM ({SCALER}) WHERE feature = {chr(39)}{c}{chr(39)}), 4) AS {c}' for c in eta.CONTINUOUS)} FROM seq", SEQ)
 def eta_standardized(s, d):
     """The last step of each scaled sequence."""
-    rows = _sequences(s, d)
+    rows = saved(_sequences(s, d), "sequences")
     scaled = eta.standardized(rows, eta.scaler(rows)).withColumn("z", F.element_at("steps", -1))
     return scaled.select("event_id", *(R4(f"z.{c}").alias(c) for c in eta.CONTINUOUS))
 

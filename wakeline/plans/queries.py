@@ -289,7 +289,7 @@ def hex_traffic_eta(s, d):
 
 @query(f"SELECT cell, round_even(traffic * 1400 / (SELECT max(traffic) FROM {TRAFFIC})::DOUBLE, 0)::INTEGER AS elev FROM {TRAFFIC}", sql.ETA)
 def hex_elevation(s, d):
-    t = _traffic(s, d)
+    t = saved(_traffic(s, d), "traffic")
     return t.crossJoin(F.broadcast(t.agg(F.max("traffic").alias("top")))).select("cell", F.bround(F.col("traffic") * 1400 / F.col("top").cast("double"), 0).cast("int").alias("elev"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import logging
 import os
 import time
 import urllib.parse
@@ -185,7 +186,7 @@ class MessageReader(DataSourceStreamReader):
 
     def __init__(self, options: dict) -> None:
         self.o = dict(options)
-        self.known = 0
+        self.known = self.missed = 0
 
     def _get(self, path: str) -> object:
         request = urllib.request.Request(f"{self.o['url'].rstrip('/')}/{path}", headers={"User-Agent": AGENT})
@@ -198,8 +199,10 @@ class MessageReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         try:
             self.known = max(self.known, int(self._get("latest")))
-        except (OSError, ValueError, TypeError):
-            pass
+            self.missed = 0
+        except (OSError, ValueError, TypeError) as e:
+            self.missed += 1
+            logging.getLogger(__name__).warning("the feed didn't answer, %d times in a row: %s", self.missed, e)
         return {"at": max(self.known, self.initialOffset()["at"])}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
