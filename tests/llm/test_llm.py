@@ -342,6 +342,39 @@ def test_new_spans_at_small_scale(spark):
     assert all(set(r["base"]) <= set(r["spans"]) for r in rows)
 
 
+def test_a_secret_needs_its_patterns(spark):
+    """Strings of a secret's form in contexts that hold too few others are evidence only, and no spans."""
+    rng = random.Random(12)
+    texts = [f'w{i} name{i} = "{rng.randbytes(20).hex()}" v{i}' for i in range(30)] + [f'few = "{rng.randbytes(20).hex()}" u{i}' for i in range(pii.LEAST_SEEDS)]
+    assert not any(r["spans"] for r in pii.detect(documents(spark, texts)).collect())
+    more = [f'few = "{rng.randbytes(20).hex()}" u{i}' for i in range(20)]
+    found = [len(r["spans"]) for r in pii.detect(documents(spark, texts + more)).orderBy("doc_id").collect()]
+    assert found == [0] * 30 + [1] * (pii.LEAST_SEEDS + 20)
+
+
+def test_hidden_identifiers_are_found_by_context(spark):
+    """Half of each kind's values lose the form that a fixed pattern or a seed has; their recurring contexts find them again."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("klmnopqr") for _ in range(rng.randrange(3, 8)))
+    shown = {"email": lambda: f"{word()}@{word()}.org", "phone": lambda: f"+49 30 {rng.randrange(10**6, 10**7)}", "card": lambda: "4111 1111 1111 1111", "secret": lambda: rng.randbytes(20).hex()}
+    hidden = {"email": lambda: f"{word()}(at){word()}.org", "phone": lambda: f"555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", "secret": lambda: f"{word()}{word()}"}
+    around = {"email": "write to %s today", "phone": "ring up %s tonight", "secret": 'token = "%s" ends'}
+    texts, want = [], []
+    for kind, phrase in around.items():
+        for k in range(60):
+            value = (shown if k % 2 else hidden)[kind]()
+            texts.append(f"{word()} {word()} {phrase % value} {word()}")
+            want.append((kind, value))
+        noise = {"email": lambda: f"{word()}(at){word()}.org", "phone": lambda: f"555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", "secret": lambda: f'{word()}{word()}'}[kind]
+        for _ in range(40):
+            texts.append(f'{word()} {word()} {word()}="{noise()}" {word()}' if kind == "secret" else f"{word()} {word()} {noise()} {word()}")
+            want.append(None)
+    got = [[(s["kind"], s["value"]) for s in r["spans"]] for r in pii.detect(documents(spark, texts)).orderBy("doc_id").collect()]
+    lost = [w for g, w in zip(got, want, strict=True) if w and w not in g]
+    wrong = [g for g, w in zip(got, want, strict=True) if not w and g]
+    assert len(lost) <= 0.1 * 90 and len(wrong) <= 0.05 * 120, (lost, wrong)
+
+
 def test_long_text_of_identifiers(spark):
     """Positions are right and redaction whole in a text of many matches; time grows as the length."""
     texts = ["é a.b@c.de 1.2.3.4 n 5551234567 " * n for n in (1, 20_000)]

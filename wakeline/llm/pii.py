@@ -5,7 +5,8 @@ are assigned to a name, as seeds of secrets. Every identifier-like string is an
 before it, the words after it and its shape are its patterns. A pattern is trusted as far as the known
 instances it has are of one kind, an instance as far as the patterns around it are; its shape adds to
 that, but a shape never seen before is no objection. What is accepted is known in the next round, so its
-contexts and its shape find more; at the end it is a span of its own.
+contexts and its shape find more, until nothing is added; at the end it is a span of its own. A seed of a secret is
+evidence for others only: it becomes a span if its patterns accept it by what they hold besides it.
 """
 
 from __future__ import annotations
@@ -43,10 +44,12 @@ CANDIDATE = (
 #: A seed of a secret: at least so long, letters and digits mixed, right after an assignment.
 SECRET = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9+/_=-]{20,}$"
 ASSIGNED = r"[=:]\s*[\"']?$"
-#: Rounds at most; what unknown instances weigh against a pattern (known ones of another kind weigh 1) and
-#: a constant that does, too; known instances that a pattern needs.
-ROUNDS, UNKNOWN, SMOOTHING, LEAST_SEEDS = 3, 0.25, 1.0, 5
-#: An instance is accepted if its best sighting scores so much, and all its sightings on average so much.
+_SECRET = len(BASE)
+#: What unknown instances weigh against a pattern (known ones of another kind weigh 1) and a constant that
+#: does, too; known instances that a pattern needs.
+UNKNOWN, SMOOTHING, LEAST_SEEDS = 0.25, 1.0, 5
+#: An instance is accepted if its best sighting scores so much, and all its sightings on average so much. The
+#: average isn't asked of what has the form of a secret, which stays one where it stands alone.
 ACCEPTED, ON_AVERAGE = 0.8, 0.5
 #: Characters on either side in which its words are looked for.
 CONTEXT = 64
@@ -156,29 +159,42 @@ def _discovered(seen: DataFrame) -> DataFrame:
     pairs = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     stats = pairs.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("seed") == k).alias(f"s{k}") for k in kinds)).where(F.col("n") >= LEAST_SEEDS)
     stats = cut(stats, "patterns")
-    unknown = edges.where("seed IS NULL").withColumns({"salt": salt("value"), "side_salt": salt("pattern")})
+    # seeds of secrets are judged too, each by what its patterns hold besides it
+    asked = edges.where(F.col("seed").isNull() | (F.col("seed") == _SECRET)).select("value", "sight", "side", "depth", "pattern", F.col("seed").isNotNull().alias("own"), salt("value").alias("salt"), salt("pattern").alias("side_salt"))
     best, count = None, 0
-    for _ in range(ROUNDS):
+    while True:
         if best is None:
             known = stats.withColumns({f"m{k}": F.lit(0.0) for k in kinds} | {f"c{k}": F.lit(0) for k in kinds})
         else:
-            more = unknown.join(best.withColumn("side_salt", spread), ["value", "side_salt"]).groupBy("pattern", "value").agg(F.first("kind").alias("kind"), F.first("score").alias("score"))
+            more = asked.where("NOT own").join(best.withColumn("side_salt", spread), ["value", "side_salt"]).groupBy("pattern", "value").agg(F.first("kind").alias("kind"), F.first("score").alias("score"))
             of = lambda k: F.col("kind") == k
             more = more.groupBy("pattern").agg(*(F.sum(F.when(of(k), F.col("score")).otherwise(0.0)).alias(f"m{k}") for k in kinds), *(F.count_if(of(k)).alias(f"c{k}") for k in kinds))
             known = stats.join(more, "pattern", "left").na.fill(0)
         every = reduce(add, (F.col(f"s{k}") + F.col(f"c{k}") for k in kinds))
-        against = every + UNKNOWN * F.greatest(F.col("n") - every, F.lit(0)) + SMOOTHING
-        trust = F.array(*(F.when(F.col(f"s{k}") + F.col(f"c{k}") >= LEAST_SEEDS, (F.col(f"s{k}") + F.col(f"m{k}")) / against).otherwise(0.0) for k in kinds))
-        trusted = known.select("pattern", trust.alias("trust")).withColumn("salt", spread)
+
+        def trust(own: int) -> Column:
+            """By kind, leaving out so many secrets."""
+            against = every - own + UNKNOWN * F.greatest(F.col("n") - every, F.lit(0)) + SMOOTHING
+            held = lambda k: own if k == _SECRET else 0
+            enough = lambda k: F.col(f"s{k}") + F.col(f"c{k}") - held(k) >= LEAST_SEEDS
+            return F.array(*(F.when(enough(k), (F.col(f"s{k}") + F.col(f"m{k}") - held(k)) / against).otherwise(0.0) for k in kinds))  # noqa: B023
+
+        trusted = known.select("pattern", trust(0).alias("trust"), trust(1).alias("without")).withColumn("salt", spread)
         # on either side, the longest pattern that is frequent enough to be judged
-        side = lambda s: F.max_by("trust", F.when((F.col("side") == s) & F.col("trust").isNotNull(), F.col("depth"))).alias(s)
-        sighted = unknown.join(trusted, ["pattern", "salt"], "left").groupBy("value", "sight").agg(*map(side, "LRS"))
+        mine = F.when(F.col("own"), F.col("without")).otherwise(F.col("trust"))
+        side = lambda s: F.max_by(mine, F.when((F.col("side") == s) & F.col("trust").isNotNull(), F.col("depth"))).alias(s)  # noqa: B023, E731
+        sighted = asked.join(trusted, ["pattern", "salt"], "left").groupBy("value", "sight", "own").agg(*map(side, "LRS"))
         t = lambda s, k: F.coalesce(F.get(s, F.lit(k)), F.lit(0.0))
         context = lambda k: 1 - (1 - t("L", k)) * (1 - t("R", k))
-        scored = sighted.select("value", *((context(k) + (1 - context(k)) * context(k) * t("S", k)).alias(f"x{k}") for k in kinds))
-        scored = scored.groupBy("value").agg(F.array(*(F.struct(F.avg(f"x{k}").alias("mean"), F.max(f"x{k}").alias("score"), F.lit(k).alias("kind")) for k in kinds)).alias("a"))
-        top = scored.select("value", F.array_max("a").alias("a")).where((F.col("a.score") >= ACCEPTED) & (F.col("a.mean") >= ON_AVERAGE))
-        best = cut(top.select("value", "a.kind", "a.score"), "accepted")
+        scored = sighted.select("value", "own", *((context(k) + (1 - context(k)) * context(k) * t("S", k)).alias(f"x{k}") for k in kinds))
+        scored = scored.groupBy("value").agg(F.max("own").alias("own"), F.array(*(F.struct(F.avg(f"x{k}").alias("mean"), F.max(f"x{k}").alias("score"), F.lit(k).alias("kind")) for k in kinds)).alias("a"))
+        # by the best sighting where the form is that of a secret, else by the mean of all
+        top = scored.select("value", F.when(F.col("own"), F.get("a", F.lit(_SECRET))).otherwise(F.array_max("a")).alias("a"), "own").where((F.col("a.score") >= ACCEPTED) & (F.col("own") | (F.col("a.mean") >= ON_AVERAGE)))
+        found = top.select("value", "a.kind", "a.score")
+        if best is not None:
+            # what was accepted stays, so the rounds end
+            found = found.unionByName(best).groupBy("value").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
+        best = cut(found, "accepted")
         before, count = count, best.count()
         if count == before:
             break
@@ -187,11 +203,10 @@ def _discovered(seen: DataFrame) -> DataFrame:
 
 def _spans(seen: DataFrame) -> DataFrame:
     """(_row, base, spans, masks) of the rows that have any."""
-    seeds = seen.where("seed IS NOT NULL").select("_row", "start", "end", "value", F.col("seed").alias("kind"))
-    # the same string is the same secret elsewhere
-    known = _discovered(seen).unionByName(seeds.where(F.col("kind") == KINDS.index("secret")).select("value", "kind")).groupBy("value").agg(F.max("kind").alias("kind"))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = seen.where("seed IS NULL").withColumn("salt", F.pmod(F.xxhash64("_row", "start"), F.lit(SALTS)).cast("int")).join(known, ["value", "salt"]).select("_row", "start", "end", "value", "kind")
+    fixed = F.coalesce(F.col("seed") < len(BASE), F.lit(False))
+    seeds = seen.where(fixed).select("_row", "start", "end", "value", F.col("seed").alias("kind"))
+    known = _discovered(seen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = seen.where(~fixed).withColumn("salt", F.pmod(F.xxhash64("_row", "start"), F.lit(SALTS)).cast("int")).join(known, ["value", "salt"]).select("_row", "start", "end", "value", "kind")
     base = F.col("kind") < len(BASE)
     every = seeds.withColumn("base", base).unionByName(hits.withColumn("base", F.lit(False))).repartition("_row")
     back = Window.partitionBy("_row").orderBy("start", "kind", "end")
@@ -209,7 +224,7 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """documents -> (doc_id, base, spans, masks, *keep), a row for each input row.
 
     base and spans are arrays of (start, k, end, kind, value): code points, end exclusive, by start and
-    kind. spans adds to base what bootstrapping finds outside base spans, and secrets; masks are the
+    kind. spans adds to base what bootstrapping accepts outside base spans; masks are the
     spans with overlapping ones united under the first one's kind. A null text is empty and has none.
     Repeated rows are found alike, each for itself; doc_id may be null. keep names input columns to carry
     along (text is then the whole text, null as empty); other columns are ignored. No rows give no rows.
