@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo, hexsphere
 from wakeline.functions.hexsphere import HexSphere
+from wakeline.ml import eta
 from wakeline.operators import polygons, sliced, track
-from wakeline.plans import places, queries
+from wakeline.plans import places, queries, run
 from wakeline.sources import archives, geojson, landing
 
 SF = "/root/testdata/sf0.001"
@@ -210,3 +211,23 @@ def test_hashes_of_large_files(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(raw)
     got = {r["name"]: (r["bytes"], r["sha256"]) for r in landing.manifest(spark, f"file://{tmp_path}/in", 1000).collect()}
     assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in blobs.items()}
+
+
+def test_run_from_archives_to_model(spark, tmp_path):
+    """Zipped daily files to Bronze, Silver, Gold, dark events, sequences and a trained model, by the command line's flags."""
+    p = queries.lens.pings(spark, SF)
+    mmsi, sec = 200000000 + F.col("event_id") % 9, F.col("event_id") * 120
+    rows = p.select(mmsi.alias("MMSI"), F.date_format(F.timestamp_seconds(sec), "yyyy-MM-dd'T'HH:mm:ss").alias("BaseDateTime"), (33.75 + F.sin(F.col("event_id") / 40.0) * 0.06).alias("LAT"), F.lit(-118.2).alias("LON"), F.lit(8.0).alias("SOG"), F.col("cog").alias("COG"), F.lit(511.0).alias("Heading"), *(F.lit(None).cast("string").alias(c) for c in "VesselName IMO CallSign VesselType Status Length Width Draft Cargo TransceiverClass".split()))
+    folder = f"file://{tmp_path}"
+    archives.write_csv(rows.repartition(3), f"{folder}/zips").collect()
+    (tmp_path / "c.yml").write_text(f"folder: {folder}/out\nsnapshots:\n  s1: {{archives: '{folder}/zips', bbox: {{lon_min: -118.5, lat_min: 33.45, lon_max: -117.9, lat_max: 33.95}}}}\n")
+    flags = ["--config", f"{tmp_path}/c.yml", "--snapshot", "s1"]
+    done = run.main([*flags, "--res", "8", "--horizon-min", "600"])
+    assert done["bronze"] == p.count() and done["gold"] == done["silver"] > 0 and done["sequences"] > 0 and done["report"] > 0
+    gold = spark.read.parquet(f"{folder}/out/gold/snapshot=s1")
+    assert gold.where("cell LIKE '88%fffff' AND length(cell) = 15").count() == done["gold"] and gold.agg(F.max(F.when(F.col("has_eta"), F.col("eta_min")))).first()[0] <= 600
+    split = gold.join(spark.read.parquet(f"{folder}/out/sequences/snapshot=s1").select("event_id", "y"), "event_id")
+    assert split.where("abs(y - ln(1 + eta_min)) > 1e-9").count() == 0
+    assert eta.load(f"{folder}/out/model/snapshot=s1").getNumTrees == 20
+    again = run.main([*flags, "--skip-ingest", "--no-model"])
+    assert set(again) == {"silver", "gold", "dark"} and again["silver"] == done["silver"]
