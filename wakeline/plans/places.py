@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import hexsphere
 from wakeline.functions.hexsphere import HexSphere
-from wakeline.operators import polygons, ranked, sliced, track
+from wakeline.operators import moving, polygons, ranked, sliced, track
 from wakeline.plans import lens, sql
-from wakeline.plans.queries import R4, query
+from wakeline.plans.queries import R4, query, saved
 from wakeline.sources import archives, files, geojson
 
 RES, PORT_RES = 7, 8
@@ -202,3 +202,30 @@ def archive_members(s, d):
     archives.write_csv(e, path).agg(F.sum("n")).first()
     rows = archives.read_csv(s, path, "event_id long, event_type string, value double")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"))
+
+
+# --- moving windows
+
+
+def _moving(s, d) -> DataFrame:
+    """Windows of 30 days from day summaries that were brought up to date twice, each time from new days alone."""
+    source, path = files.scratch(s, "days"), files.scratch(s, "summaries")
+    p = lens.pings(s, d).select("mmsi", "sog", F.floor(F.col("sec") / 86400).cast("int").alias("day"))
+    middle = F.expr("(min(day) + max(day)) div 2")
+    halves = saved(p.crossJoin(F.broadcast(p.agg(middle.alias("middle")))), "halves")
+    for half in ("day <= middle", "day > middle"):
+        part = halves.where(half).drop("middle")
+        part.repartition("day").write.mode("append").partitionBy("day").parquet(source)
+        moving.refresh(s, source, path)
+    return moving.windows(s.read.parquet(path))
+
+
+@query("SELECT day, count(*) AS n, round(sum(sog), 3) AS total FROM (SELECT DISTINCT (sec // 86400)::INTEGER AS day FROM lens) d JOIN lens ON (sec // 86400)::INTEGER BETWEEN day - 29 AND day GROUP BY 1")
+def moving_sums(s, d):
+    return _moving(s, d).select("day", "n", F.round("total", 3).alias("total"))
+
+
+@query()
+def moving_sketches(s, d):
+    """Distinct vessels and quantiles of speed over 30 days; the bounds of their errors are tested against exact ones."""
+    return _moving(s, d).select("day", moving.distinct().alias("n_vessels"), *(moving.quantile(q).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)))
