@@ -13,6 +13,7 @@ from wakeline.operators import moving, polygons, ranked, sliced, track
 from wakeline.plans import lens, sql
 from wakeline.plans.queries import R4, query, saved
 from wakeline.sources import archives, files, geojson
+from wakeline.streaming import live, timers
 
 RES, PORT_RES = 7, 8
 
@@ -229,3 +230,23 @@ def moving_sums(s, d):
 def moving_sketches(s, d):
     """Distinct vessels and quantiles of speed over 30 days; the bounds of their errors are tested against exact ones."""
     return _moving(s, d).select("day", moving.distinct().alias("n_vessels"), *(moving.quantile(q).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)))
+
+
+# --- timers
+
+
+@query("SELECT mmsi, prev AS t_start, sec AS t_end FROM (SELECT mmsi, sec, lag(sec) OVER (PARTITION BY mmsi ORDER BY sec, event_id) AS prev FROM lens) WHERE sec - prev > 1800")
+def stream_silences(s, d):
+    """The silences that have an end, of a stream that also tells open ones by timers, over two batches in time's order."""
+    path, files_each, store = files.scratch(s, "pings"), 4, s.conf.get("spark.sql.streaming.stateStore.providerClass")
+    p = lens.pings(s, d).select("mmsi", "sec", F.timestamp_seconds("sec").alias("at"))
+    halves = p.crossJoin(F.broadcast(p.agg(F.expr("min(sec) + (max(sec) - min(sec)) div 2").alias("middle"))))
+    for half in ("sec <= middle", "sec > middle"):
+        halves.where(half).drop("middle").repartition(files_each).write.mode("append").parquet(path)
+    stream = s.readStream.schema("mmsi long, sec long, at timestamp").option("maxFilesPerTrigger", files_each).parquet(path)
+    timers.with_timers(s)
+    try:
+        told = live.landed(timers.silences(stream, "at", "1 minute", track.GAP_S, 3650 * 86400), "silences")
+    finally:
+        s.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    return told.where("t_end IS NOT NULL")
