@@ -77,8 +77,10 @@ def test_stream_through_breaks_and_restarts(spark, tmp_path):
     for goal in (200, 600):
         q = begin()
         until = time.time() + 60
-        while seen < goal and time.time() < until and q.isActive:
+        quiet = 0
+        while seen < goal and time.time() < until and q.isActive and quiet < 12:
             time.sleep(0.3)
+            quiet = quiet + 1 if feed.sent >= feed.total else 0
             try:
                 seen = spark.read.schema("file long, n int, seen double, value string").parquet(out).count()
             except Exception:
