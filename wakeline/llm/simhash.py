@@ -228,7 +228,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     doc_id reached by links of at most 4 differing bits; a null doc_id is kept and never chosen
     (component_id is null if there is no other). No rows give no rows.
     """
-    prints = cut(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _prints(words), "doc_id long, fp long"), "prints")
+    return of_prints(cut(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _prints(words), "doc_id long, fp long"), "prints"))
+
+
+def of_prints(prints: DataFrame) -> DataFrame:
+    """A written table (doc_id, fp) -> the same rows with their component_id."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(link_edges(least))
     classes = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")

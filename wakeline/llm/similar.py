@@ -19,17 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm import simhash
 from wakeline.llm.components import components
-from wakeline.llm.shared import cut, map_batches
+from wakeline.llm.shared import cut, drop, map_batches
 
 WORDS, LEAST, SEED = 5, 0.8, 42
 BANDS, VALUES = 16, 4
 #: Members of a band that one task compares at once; larger bands are cut into slices of about that size.
 SLICE = 1024
+#: Token streams whose signatures a task remembers.
+REMEMBERED = 4096
 _RNG = np.random.default_rng(SEED)
 _XOR, _TIMES = (_RNG.integers(0, 1 << 64, (BANDS * VALUES, 1), np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -65,17 +67,27 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[i * VALUES : (i + 1) * VALUES].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        stream = [xxhash.xxh3_128_digest(b" ".join(_tokens(t))) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(stream, pa.binary())], ["id", "stream"])
+def _signed(words: int):
+    """(id, text) -> (id, stream, bands, fp), all that is asked of a text before sets are compared, in one pass.
 
+    What a task has worked out for a token stream is remembered for the next copies of it.
+    """
 
-def _banded(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[list[int], int]] = {}
         for b in batches:
-            every = [bands(shingles(t, words)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(every, pa.list_(pa.int64()))], ["id", "bands"])
+            streams, found = [], []
+            for text in b.column("text").to_pylist():
+                stream = xxhash.xxh3_128_digest(b" ".join(_tokens(text)))
+                if stream not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    fp = simhash.fingerprint(text, words)
+                    known[stream] = bands(shingles(text, words)), fp - (1 << 64) if fp >> 63 else fp
+                streams.append(stream)
+                found.append(known[stream])
+            cols = [pa.array(streams, pa.binary()), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "stream", "bands", "fp"])
 
     return run
 
@@ -173,24 +185,41 @@ def _met(least: float):
     return run
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """One row for each id; of rows that share one, those of a task meet before they are shuffled."""
+    return docs.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("_nth = 1").drop("_nth")
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows: int = SLICE) -> DataFrame:
-    """(id, text) -> (id, root), a row for each input row; ids are distinct and not null.
+    """(id, text) -> (id, num, root), a row for each input row; num is its place in the input.
+
+    id is of any type with an order, not null, and follows from the row, as docs is read twice; rows with the
+    same id have the same text. root is the least id reached by links between documents whose sets of word
+    shingles have a Jaccard similarity of at least `least`. Null and empty texts are alike; a text of fewer
+    words is one shingle. No rows give no rows.
 
-    root is the least id reached by links between documents whose sets of word shingles have a Jaccard
-    similarity of at least `least`. Null and empty texts are alike; a text of fewer words is one shingle.
+    Texts are read once for their signatures and moved once, to the sets of the candidates; all else that is
+    joined is numbers. Tables that nothing needs any more are dropped.
     """
     rows = docs.select("id", F.col("text").cast("string").alias("text"))
-    streams = cut(map_batches(rows, _digests, "id long, stream binary"), "streams")
-    first = cut(streams.groupBy("stream").agg(F.min("id").alias("first")), "first")
-    texts = rows.join(first.select(F.col("first").alias("id")), "id", "left_semi")
-    banded = cut(map_batches(texts, _banded(words), "id long, bands array<long>").select("id", F.explode("bands").alias("key")), "bands")
-    close = simhash.near_duplicates(texts.select(F.col("id").alias("doc_id"), "text"), words)
-    banded = banded.unionByName(close.select(F.col("doc_id").alias("id"), F.xxhash64(F.lit("simhash"), "component_id").alias("key")))
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = map_batches(rows, _signed(words), f"id {kind}, stream binary, bands array<long>, fp long")
+    signed = cut(signed.withColumn("num", F.monotonically_increasing_id()), "signed")
+    # a number for each token stream; its bands and fingerprint are those of any of its rows
+    per_stream = signed.groupBy("stream").agg(F.min("num").alias("num"), F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    first = cut(per_stream, "first")
+    banded = first.select("num", F.explode("bands").alias("key"))
+    close = simhash.of_prints(first.select(F.col("num").alias("doc_id"), "fp"))
+    near = close.select(F.col("doc_id").alias("num"), F.xxhash64(F.lit("simhash"), "component_id").alias("key"))
+    banded = cut(banded.unionByName(near).withColumnRenamed("num", "id"), "bands")
     sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     # groups with the same members are compared once
     keys = cut(sizes.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("least").alias("least")), "keys")
     members = cut(banded.join(keys.select("key", "least", "n"), "key"), "members")
-    sets = cut(map_batches(rows.join(members.select("id").distinct(), "id", "left_semi"), _sets(words), "id long, members binary"), "sets")
+    drop(banded, keys)
+    wanted = members.select(F.col("id").alias("num")).distinct().join(first.select("num", "id"), "num")
+    texts = once(rows).join(wanted, "id").select(F.col("num").alias("id"), "text")
+    sets = cut(map_batches(texts, _sets(words), "id long, members binary"), "sets")
     stars = members.where("id <> least").select("least", "id").distinct()
     met = cut(map_batches(_stars(stars, sets, slice_rows), _met(least), "u long, v long, similar boolean"), "met")
     known = met.where("similar").select("u", "v")
@@ -204,7 +233,9 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, slice_rows
     pairs = sliced.select("key", "id", "of", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).join(sets, "id")
     dealt = pairs.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     more = map_batches(dealt.select("key", "a", "b", "id", "of", "members"), _linked(least), "u long, v long")
-    edges = known.unionByName(more)
-    roots = components(cut(edges.distinct(), "edges"))
-    known = first.join(roots.withColumnRenamed("node", "first"), "first", "left").select("stream", F.coalesce("root", "first").alias("root"))
-    return streams.join(known, "stream").select("id", "root")
+    edges = cut(known.unionByName(more).distinct(), "edges")
+    drop(sets, met, members, still)
+    roots = components(edges).withColumnRenamed("node", "num")
+    classes = cut(first.select("num", "stream", "id").join(roots, "num", "left").select("stream", "id", F.coalesce("root", "num").alias("of")), "roots")
+    least_ids = classes.groupBy("of").agg(F.min("id").alias("root"))
+    return signed.select("id", "num", "stream").join(classes.join(least_ids, "of").select("stream", "root"), "stream").select("id", "num", "root")
