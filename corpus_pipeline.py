@@ -19,11 +19,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, as a table: doc_id may be null or repeat."""
-    return cut(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go, each row by its own text. The model learns from labelled documents given."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,11 +30,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without a doc_id comes after those with one; of rows with the same doc_id one stays.
     """
-    rows = _numbered(docs)
-    found = cut(similar.groups(rows.select(F.col("_row").alias("id"), "text")).withColumnRenamed("id", "_row"), "groups")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    stays = rows.select("_row", "doc_id").join(found, "_row").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
-    return rows.join(cut(stays.select("_row"), "stays"), "_row", "left_semi").select(*COLUMNS)
+    # what is in all of its columns tells a row from others of its doc_id
+    content = F.unhex(F.md5(F.to_json(F.struct(*COLUMNS))))
+    by_id = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), content.alias("content"))
+    rows = docs.select(by_id.alias("id"), *COLUMNS)
+    found = similar.groups(rows.select("id", "text"))
+    stays = cut(found.groupBy("root").agg(F.min_by("id", F.struct("id.none", "id.doc_id", "num")).alias("id")).select("id"), "stays")
+    return similar.once(rows).join(stays, "id", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
