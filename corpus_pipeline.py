@@ -47,8 +47,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in brackets; n_chars follows."""
-    found = pii.detect(docs, keep=("text", "lang", "source"))
-    clean = found.withColumn("text", pii.redact(F.col("text"), F.col("masks")))
+    # what is masked follows from the text, so spans go back to the rows by its digest and texts aren't written with them
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*COLUMNS).withColumn("text", text).withColumn("_text", F.unhex(F.md5("text")))
+    found = pii.detect(rows.select("doc_id", "text", "_text"), keep=("_text",))
+    masks = found.where(F.size("masks") > 0).groupBy("_text").agg(F.first("masks").alias("masks"))
+    joined = rows.join(masks, "_text", "left")
+    clean = joined.withColumn("text", F.when(F.col("masks").isNull(), F.col("text")).otherwise(pii.redact(F.col("text"), F.col("masks"))))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
