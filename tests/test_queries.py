@@ -292,3 +292,15 @@ def test_mini_track(spark):
     assert [r["sec"] for r in track.without_jumps(seg).orderBy("sec").collect()] == [0, 600, 9001]
     edge = df.where("event_id IN (0, 4)").withColumn("sec", F.when(F.col("sec") == 0, 0).otherwise(1800))
     assert [r["gap_flag"] for r in track.segments(edge).orderBy("sec").collect()] == [None, False]
+
+
+def test_session_ends_just_at_the_gap(spark, tmp_path):
+    """A ping two hours after the last one begins a new session, one a second earlier doesn't; in one batch or in two."""
+    rows = [(1, 0), (1, 7199), (1, 14399), (2, 0), (2, 3600)]
+    for name, parts in (("one", [rows]), ("two", [rows[:2], rows[2:]])):
+        path = f"file://{tmp_path}/{name}"
+        for part in parts:
+            spark.createDataFrame(part, "mmsi long, sec long").select("mmsi", F.timestamp_seconds("sec").alias("at")).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("mmsi long, at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+        found = live.completed(live.sessions(stream, "2 hours"), "at-the-gap").select("mmsi", F.unix_timestamp("begin"), "n").collect()
+        assert sorted(map(tuple, found)) == [(1, 0, 2), (1, 14399, 1), (2, 0, 2)]

@@ -79,7 +79,9 @@ def deduplicated(stream: DataFrame, keys: list[str], at: str, late: str) -> Data
 
 def sessions(stream: DataFrame, gap: str) -> DataFrame:
     """(mmsi, begin, n): runs of pings with less than gap between them."""
-    return stream.groupBy("mmsi", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select("mmsi", F.col("w.start").alias("begin"), "n")
+    # a session window also takes the ping that comes just when the gap is over
+    less = f"{pd.Timedelta(gap) // pd.Timedelta(microseconds=1) - 1} microseconds"
+    return stream.groupBy("mmsi", F.session_window("at", less).alias("w")).agg(F.count("*").alias("n")).select("mmsi", F.col("w.start").alias("begin"), "n")
 
 
 def gaps(stream: DataFrame, longer_s: int, forget: str | None = None) -> DataFrame:
