@@ -5,6 +5,7 @@ import json
 import math
 import random
 import zipfile
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -231,3 +232,12 @@ def test_run_from_archives_to_model(spark, tmp_path):
     assert eta.load(f"{folder}/out/model/snapshot=s1").getNumTrees == 20
     again = run.main([*flags, "--skip-ingest", "--no-model"])
     assert set(again) == {"silver", "gold", "dark"} and again["silver"] == done["silver"]
+
+
+def test_mean_speed_of_cells_is_that_of_the_decimals(spark):
+    """The mean of speeds as they are written, whatever the order in which they are added up."""
+    sf, speeds = "/root/testdata/sf0.01", {}
+    for r in places._pings(spark, sf).select(HexSphere.name(F.col("sid")).alias("cell"), "sog").where("sog > 0.5").collect():
+        speeds.setdefault(r["cell"], []).append(Decimal(repr(round(r["sog"], 12))))
+    want = {c: math.floor(float(sum(v)) / len(v) * 10000 + 0.5) / 10000 for c, v in speeds.items()}
+    assert {r["cell"]: r["mean_sog"] for r in places.sphere_traffic(spark, sf).where("mean_sog IS NOT NULL").collect()} == want

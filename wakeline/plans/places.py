@@ -69,8 +69,11 @@ def sphere_cells(s, d):
 
 @query("SELECT lower(to_hex(sid)) AS cell, count(*) AS n, round(avg(sog) FILTER (WHERE sog > 0.5::DOUBLE), 4) AS mean_sog FROM sph GROUP BY sid", CELLS)
 def sphere_traffic(s, d):
-    mean = F.avg(F.when(F.col("sog") > 0.5, F.col("sog")))
-    return _pings(s, d).groupBy("sid").agg(F.count("*").alias("n"), R4(mean).alias("mean_sog")).select(HexSphere.name(F.col("sid")).alias("cell"), "n", "mean_sog")
+    """Speeds are added up as decimals, so that their mean, often half-way between two roundings, doesn't depend on the order of rows."""
+    sog = F.when(F.col("sog") > 0.5, F.col("sog"))
+    mean = F.sum(sog.cast("decimal(28,12)")).cast("double") / F.count(sog)
+    # rounded as the SQL does it: half away from zero, of the product
+    return _pings(s, d).groupBy("sid").agg(F.count("*").alias("n"), (F.round(mean * 10000) / 10000).alias("mean_sog")).select(HexSphere.name(F.col("sid")).alias("cell"), "n", "mean_sog")
 
 
 _CUT = lambda res: (~((15 << 52) | ((1 << 3 * (15 - res)) - 1)), (res << 52) | ((1 << 3 * (15 - res)) - 1))
