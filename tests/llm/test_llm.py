@@ -123,6 +123,24 @@ def test_repeats(docs, group, looked, share):
     assert got == want and any(w[1] for w in want.values())
 
 
+def test_backoff_asks_for_little():
+    """An order asks only for n-grams whose two shorter parts other documents have, at about six bytes each."""
+    rng = np.random.default_rng(7)
+    tokens, words = rng.integers(0, 40_000, 200_000), rng.integers(0, 2**63, 40_000).astype(np.uint64)
+    own = lm._Run([100_000, 100_000], lm._squeezed(tokens), words.tobytes())
+    for k in range(3):
+        of = own.ask()
+        assert (of.seen[1:] > of.seen[:-1]).all() and of.n.sum() == len(of.at)
+        assert k == 0 or len(lm._squeezed(np.diff(of.seen, prepend=np.uint64(0)))) < 6.5 * len(of.seen) + 100
+        own.told(of, np.zeros(len(of.seen), np.int64))
+    # every word is in both documents, but of the pairs few are, and of three words hardly any
+    pairs = [set(zip(t[:-1].tolist(), t[1:].tolist(), strict=True)) for t in (tokens[:100_000], tokens[100_000:])]
+    both = pairs[0] & pairs[1]
+    known = np.array([p in both for p in zip(tokens[:-1].tolist(), tokens[1:].tolist(), strict=True)])
+    known[99_999] = False
+    assert len(of.at) == (known[1:] & known[:-1]).sum() < 100
+
+
 @pytest.mark.parametrize(("order", "tokens"), [(5, 500_000), (3, 50)])
 def test_backoff_scores(spark, order, tokens):
     """By definition, with counts of all other documents; repeated rows and null texts included."""
