@@ -241,3 +241,16 @@ def test_mean_speed_of_cells_is_that_of_the_decimals(spark):
         speeds.setdefault(r["cell"], []).append(Decimal(repr(round(r["sog"], 12))))
     want = {c: math.floor(float(sum(v)) / len(v) * 10000 + 0.5) / 10000 for c, v in speeds.items()}
     assert {r["cell"]: r["mean_sog"] for r in places.sphere_traffic(spark, sf).where("mean_sog IS NOT NULL").collect()} == want
+
+
+def test_repeated_positions_are_paired_once(spark, tmp_path, monkeypatch):
+    """Copies of all pings at the same places, by other vessels, make no more pairs with boxes; each vessel has the counts of all."""
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(60).cache()
+    copies = [events.withColumns({"event_id": F.col("event_id") + k * 1009 * 997, "user_id": F.col("user_id") + k * 100_000}) for k in range(3)]
+    copies[0].union(copies[1]).union(copies[2]).write.parquet(f"{tmp_path}/events.parquet")
+    events.write.parquet(f"{tmp_path}/one/events.parquet")
+    pairs, within = [], polygons.within
+    monkeypatch.setattr(polygons, "within", lambda *a: pairs.append(within(*a)) or pairs[-1])
+    one, three = ({r["polygon"]: r["n"] for r in places.pings_near_starts(spark, str(d)).collect()} for d in (tmp_path / "one", tmp_path))
+    assert three == {m + k * 100_000: 3 * n for m, n in one.items() for k in range(3)}
+    assert pairs[0].count() == pairs[1].count()

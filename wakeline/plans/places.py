@@ -102,13 +102,18 @@ _FIRST = "first_ping AS (SELECT mmsi AS polygon, lat AS y, lon AS x FROM lens QU
     f"{sql.LENS}, {_FIRST}",
 )
 def pings_near_starts(s, d):
-    """Pings of all vessels in a box around each vessel's first ping: as many polygons as vessels, by their cells."""
+    """Pings of all vessels in a box around each vessel's first ping: as many polygons as there are first positions, by their cells.
+
+    Pings at one position are counted before, and vessels that begin at one position share a box, so no pair of rows is made twice.
+    """
     p = lens.pings(s, d)
-    first = p.withColumn("k", F.row_number().over(Window.partitionBy("mmsi").orderBy("sec", "event_id"))).where("k = 1")
+    first = saved(p.withColumn("k", F.row_number().over(Window.partitionBy("mmsi").orderBy("sec", "event_id"))).where("k = 1").select("mmsi", "lat", "lon"), "firsts")
+    begins = saved(first.select("lat", "lon").distinct().withColumn("box", F.monotonically_increasing_id()), "boxes")
     lat, lon = F.col("lat"), F.col("lon")
-    boxes = polygons.box_polygons(first, "mmsi", lon - F.lit(0.02), lat - F.lit(0.01), lon + F.lit(0.02), lat + F.lit(0.01))
-    hits = polygons.within(p.select("event_id", "lat", "lon"), polygons.cover(boxes, RES), RES)
-    return hits.groupBy("polygon").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    boxes = polygons.box_polygons(begins, "box", lon - F.lit(0.02), lat - F.lit(0.01), lon + F.lit(0.02), lat + F.lit(0.01))
+    points = p.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    hits = polygons.within(points, polygons.cover(boxes, RES), RES).groupBy(F.col("polygon").alias("box")).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+    return first.join(begins.join(hits, "box"), ["lat", "lon"]).select(F.col("mmsi").alias("polygon"), "n", "ids")
 
 
 PORT_CELLS = f"""{sql.SILVER}, moored AS (SELECT * FROM silver WHERE sog < 1 AND lon BETWEEN {lens.PORT[0]} AND {lens.PORT[2]} AND lat BETWEEN {lens.PORT[1]} AND {lens.PORT[3]}),
