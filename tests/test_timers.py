@@ -1,5 +1,6 @@
 """Silences told while they last, through restarts; late pings; vessels that are forgotten."""
 
+import pandas as pd
 import pytest
 from oracle_check import differences
 from pyspark.sql import functions as F
@@ -62,3 +63,38 @@ def test_query_as_sql(spark):
     before = spark.conf.get(PROVIDER)
     assert differences(queries.QUERIES["stream_silences"](spark, "/root/testdata/sf0.001"), queries.ORACLE["stream_silences"], "/root/testdata/sf0.001") == ""
     assert spark.conf.get(PROVIDER) == before
+
+
+def test_few_messages_to_the_state():
+    """A vessel with new pings costs at most one read, one write and a timer that goes and one that comes; no output where nothing is told."""
+    calls, timer = [], set()
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return state
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timer.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            timer.remove(at)
+
+    state, told = State(), timers.Silences(1800, 100_000)
+    told.init(Handle())
+    put = lambda *secs: list(told.handleInputRows((1,), iter([pd.DataFrame({"sec": secs})]), None))
+    assert put(BASE, BASE + 60) == [] and calls == ["get", "register", "update"]
+    assert len(put(BASE + 5000)) == 1 and len(calls) == 7 and timer == {(BASE + 6800) * 1000}
+    assert put(BASE + 10) == [] and len(calls) == 9 and state.held == (BASE + 5000, False, 1)

@@ -27,25 +27,29 @@ class Silences(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "sec long, told boolean, late long")
 
-    def _remind(self, sec: int) -> None:
-        """One timer is left, at sec."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(sec * 1000)
+    def _due(self, sec: int, told: bool) -> int:
+        """When the vessel's one timer runs out."""
+        return (sec + (self.forget_s if told else self.longer_s)) * 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # each call of the state is a message to the JVM, so there are as few as can be
         every = np.sort(np.concatenate([b["sec"].to_numpy(np.int64) for b in rows]))
-        last, _, late = self.last.get() if self.last.exists() else (None, False, 0)
+        held = self.last.get()
+        last, told, late = held if held is not None else (None, False, 0)
         new = every if last is None else every[every > last]
         # equal to the last one is the same ping again, older ones are late
-        late += 0 if last is None else int((every < last).sum())
-        times = new if last is None else np.concatenate([[last], new])
-        told = len(new) == 0 and self.last.exists() and self.last.get()[1]
-        self.last.update((int(times[-1]), bool(told), late))
+        older = 0 if last is None else int((every < last).sum())
         if len(new):
-            self._remind(int(times[-1]) + self.longer_s)
+            if last is not None:
+                self.handle.deleteTimer(self._due(last, told))
+            self.handle.registerTimer(self._due(int(new[-1]), False))
+            self.last.update((int(new[-1]), False, late + older))
+        elif older:
+            self.last.update((last, told, late + older))
+        times = new if last is None else np.concatenate([[last], new])
         at = np.flatnonzero(np.diff(times) > self.longer_s)
-        yield pd.DataFrame({"mmsi": np.int64(key[0]), "t_start": times[at], "t_end": pd.array(times[at + 1], "Int64")})
+        if len(at):
+            yield pd.DataFrame({"mmsi": np.int64(key[0]), "t_start": times[at], "t_end": pd.array(times[at + 1], "Int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, told, late = self.last.get()
@@ -54,7 +58,7 @@ class Silences(StatefulProcessor):
             return
         self.last.update((last, True, late))
         # the timer that ran out is gone by itself
-        self.handle.registerTimer((last + self.forget_s) * 1000)
+        self.handle.registerTimer(self._due(last, True))
         yield pd.DataFrame({"mmsi": [np.int64(key[0])], "t_start": [last], "t_end": pd.array([None], "Int64")})
 
     def close(self) -> None:
